@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import bpe, embeddings, sharding, warc
+from pixelsieve.llm import bpe, embeddings, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -27,12 +27,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark), k=4, num=85, den=100)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), Scratch(spark).path("archives"), least_bytes=0)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_embedding_neardup, op6_byte_bpe, op8_sharding, op10_warc)}
+    return {f.__name__: f for f in (op3_embedding_neardup, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
