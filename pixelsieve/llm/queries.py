@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelsieve.llm import bpe, embeddings, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, decontaminate, embeddings, line_dedup, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -22,6 +22,10 @@ def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark), COSINE)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -40,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_embedding_neardup, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
