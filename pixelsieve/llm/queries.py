@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pixelsieve.llm import bpe, decontaminate, embeddings, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, decontaminate, embeddings, licenses, line_dedup, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -18,6 +19,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumn("spans", F.to_json("spans"))
+
+
 def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark), COSINE)
 
@@ -44,7 +49,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
