@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm import bpe, decontaminate, embeddings, licenses, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -36,6 +36,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, Scratch(spark), langid.train(docs), host=F.col("source"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
 
@@ -49,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op8_sharding, op9_ngram_jaccard, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op7_language_id, op8_sharding, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
