@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm import bpe, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, chat, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -31,6 +31,15 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
+#: What the tool that conversations are read as takes.
+REPLY = [("reply", "prompt", "string", True), ("reply", "length", "integer", True)]
+
+
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = chat.turns_as_tool_messages(table(spark, sf_dir, "conversations"))
+    return chat.link_tool_calls(messages, spark.createDataFrame(REPLY, chat.SCHEMA), Scratch(spark))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
@@ -54,7 +63,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_embedding_neardup, op4_decontamination, op6_byte_bpe, op7_language_id, op8_sharding, op9_ngram_jaccard, op10_warc)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_license_scan, op3_embedding_neardup, op4_decontamination, op5_tool_call_linking, op6_byte_bpe, op7_language_id, op8_sharding, op9_ngram_jaccard, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
