@@ -11,9 +11,10 @@ therefore cut where the bound is tightest, at groups that must be whole:
   equal in both. Each set emits its first D + 1 non-empty groups, by the partition of its size
   class (and, near the upper end of the class, of the next one too); linked sets meet in a tile
   of an equal group. This loses no pair.
-* In a tile every set is held against the tile's smallest one first, the others only where the
-  links found so far leave the tile in more than one component; then a packed R-tree over the
-  count vectors of the tile yields the pairs whose bound reaches the threshold.
+* In a tile every set is held against the tile's smallest one first. While the links found so
+  far leave a tile in more than one component, a packed R-tree over its count vectors yields the
+  pairs of different components whose bound reaches the threshold: twice only so many as would
+  join the components that they touch, if all of them link, and then all that are left.
 * Surviving pairs are verified on their whole shingle sets.
 
 Equal sets are one class all the way; copies are never expanded into pairs.
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, components, list_array, mix64, shingle_hashes, utf8_chunks, whole_hash, words_of
 
 #: Coordinates of a point, members of a leaf, and members of a block of a tile.
-DIMENSIONS, LEAF, BLOCK = 128, 32, 1024
+DIMENSIONS, LEAF, BLOCK = 512, 32, 1024
+#: Rounds in which tiles only yield pairs that would join components, and rows that are broadcast.
+JOINING_ROUNDS, BROADCAST_ROWS = 2, 500_000
 _SHIFT = np.uint64(64 - DIMENSIONS.bit_length() + 1)
 
 
@@ -76,7 +79,13 @@ def group_signatures(members: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def point(members: np.ndarray) -> np.ndarray:
-    return np.bincount((members >> _SHIFT).astype(np.int64), minlength=DIMENSIONS).astype(np.int32)
+    """Counts of the groups, at most 255 each; with the set's size they bound overlaps."""
+    return np.minimum(np.bincount((members >> _SHIFT).astype(np.int64), minlength=DIMENSIONS), 255).astype(np.uint8)
+
+
+def excess(points: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Members beyond the counts of each point: as many more may overlap."""
+    return sizes - points.sum(1, dtype=np.int64)
 
 
 def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -93,30 +102,49 @@ def packed_tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray,
     """
     order = np.lexsort((points[:, 0], sizes))
     points, sizes, parts, first = points[order], sizes[order], parts[order], first[order]
+    more = excess(points, sizes)
     starts = np.arange(0, len(order), LEAF)
-    corner = np.maximum.reduceat(points, starts)
+    corner, corner_more = np.maximum.reduceat(points, starts), np.maximum.reduceat(more, starts)
     small, large = sizes[starts], sizes[np.minimum(starts + LEAF, len(order)) - 1]
     split = not first.all()
+
+    def overlap(a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> np.ndarray:
+        return np.minimum(a, b).sum(-1, dtype=np.int64) + np.minimum(more_a, more_b)
+
     for i, at in enumerate(starts):
         rows = slice(at, at + LEAF)
         near = np.flatnonzero((small * num <= large[i] * den) & (starts >= at))
-        if not len(near):
-            continue
-        box = np.minimum(corner[i], corner[near]).sum(1)  # leaf against leaf
-        near = near[box >= least_overlap(small[i], np.maximum(small[near], small[i]), num, den)]
+        if len(near):  # leaf against leaf
+            near = near[overlap(corner[i], corner[near], corner_more[i], corner_more[near]) >= least_overlap(small[i], np.maximum(small[near], small[i]), num, den)]
         for j in near:
-            bound = np.minimum(points[rows], corner[j]).sum(1)  # rows against leaf
+            bound = overlap(points[rows], corner[j], more[rows], corner_more[j])  # rows against leaf
             mine = at + np.flatnonzero(bound >= least_overlap(sizes[rows], np.maximum(small[j], sizes[rows] * num // den), num, den))
-            if not len(mine):
-                continue
             others = np.arange(starts[j], min(starts[j] + LEAF, len(order)))
-            overlap = np.minimum(points[mine][:, None], points[others][None]).sum(2)
-            ok = overlap >= least_overlap(sizes[mine][:, None], sizes[others][None], num, den)
-            ok &= parts[mine][:, None] != parts[others][None]
+            ok = parts[mine][:, None] != parts[others][None]
             ok &= (first[mine][:, None] != first[others][None]) if split else True
             ok &= mine[:, None] < others[None]
             x, y = np.nonzero(ok)
-            yield order[mine[x]], order[others[y]]
+            x, y = mine[x], others[y]
+            ok = overlap(points[x], points[y], more[x], more[y]) >= least_overlap(sizes[x], sizes[y], num, den)
+            yield order[x[ok]], order[y[ok]]
+
+
+def joining(parts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs would join components one after the other, if all of them linked."""
+    above: dict[int, int] = {}
+
+    def root(p: int) -> int:
+        while (q := above.get(p, p)) != p:
+            above[p] = above.get(q, q)
+            p = q
+        return p
+
+    out = np.zeros(len(x), bool)
+    for k, (p, q) in enumerate(zip(parts[x].tolist(), parts[y].tolist(), strict=True)):
+        if (p := root(p)) != (q := root(q)):
+            above[p] = q
+            out[k] = True
+    return out
 
 
 def _prepare(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -159,12 +187,14 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.int32).reshape(-1, DIMENSIONS) for i in (2, 3))
-                ok = np.minimum(p, q).sum(1) >= least_overlap(p.sum(1), q.sum(1), num, den)
+                p, q = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, DIMENSIONS) for i in (2, 3))
+                m, n = (batch.column(i).to_numpy() for i in (4, 5))
+                bound = np.minimum(p, q).sum(1, dtype=np.int64) + np.minimum(excess(p, m), excess(q, n))
+                ok = bound >= least_overlap(m, n, num, den)
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(ok)) for i in (0, 1)], names=["a", "b"])
 
-    own = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("p")), "a")
-    own = own.join(points.select(F.col("node").alias("b"), F.col("point").alias("q")), "b").select("a", "b", "p", "q")
+    own = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n").alias("m")), "a")
+    own = own.join(points.select(F.col("node").alias("b"), F.col("point").alias("q"), "n"), "b").select("a", "b", "p", "q", "m", "n")
     return own.mapInArrow(run, "a long, b long")
 
 
@@ -176,8 +206,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return own.where(F.col("both") * den >= (F.col("sum") - F.col("both")) * num).select("a", "b")
 
 
-def _tile_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components within tiles (signature, node, part, point), by R-trees.
+def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> DataFrame:
+    """Pairs of different components within tiles (signature, node, part, point, n), by R-trees.
 
     Tiles of more than BLOCK sets are cut into blocks that meet pair by pair, so that a task
     holds two blocks at most.
@@ -185,17 +215,20 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int) -> DataFrame:
     sizes = tiles.groupBy("signature").agg(F.expr(f"CAST(CEIL(COUNT(*) / {BLOCK}) AS INT)").alias("blocks"))
     cut = tiles.join(sizes, "signature").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("signature", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "part", "point")
+    cut = cut.select("signature", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "part", "point", "n")
     cut = cut.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi")
 
     def tile(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         node, part = rows["node"].to_numpy(), rows["part"].to_numpy()
-        points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.int32).reshape(-1, DIMENSIONS)
+        points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
         lo, hi, i = (rows[c].to_numpy() for c in ("lo", "hi", "i"))
         first = (i == lo) | (lo == hi)
-        found = list(packed_tree_pairs(points, points.sum(1), part, first, num, den))
+        found = list(packed_tree_pairs(points, rows["n"].to_numpy(), part, first, num, den))
         x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
+        if only_joining:
+            keep = joining(part, x, y)
+            x, y = x[keep], y[keep]
         return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,22 +272,28 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
     tiles = scratch.write(tiles.where("centre <> other").select("signature", "node", "centre"), "tiles")
 
     met = tiles.select("node").distinct()
-    points = full.join(met, "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"), F.min("doc_id").alias("doc_id"))
+    points = full.join(met, "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     points = scratch.write(points, "points")
 
     star = tiles.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     star = scratch.write(_bounded(star, points, num, den), "star")
     links = scratch.write(_verify(star, docs, points, scratch, "star", k, num, den), "star-links")
-    parts = scratch.write(components(links, scratch, "star-components"), "parts")
-
-    # tiles that the links from their smallest sets leave in several components
-    split = tiles.join(parts, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("part"))
-    open_tiles = split.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("signature")
-    split = split.join(open_tiles, "signature").join(points.select("node", "point"), "node")
-    rest = scratch.write(_tile_pairs(split, num, den).join(star, ["a", "b"], "left_anti"), "rest")
-    more = _verify(rest, docs, points, scratch, "rest", k, num, den)
-    links = links.unionByName(more)
-    found = scratch.write(components(links, scratch, "components"), "found")
+    found, tested = scratch.write(components(links, scratch, "star-components"), "star-found"), star
+    for turn in range(JOINING_ROUNDS + 1):
+        # tiles that the links so far leave in several components
+        split = tiles.select("signature", "node").join(found, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("part"))
+        open_tiles = split.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("signature")
+        tiles = scratch.write(split.join(open_tiles, "signature"), f"tiles-{turn}")
+        if not tiles.limit(1).count():
+            break
+        rest = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn < JOINING_ROUNDS)
+        rest = scratch.write(rest.join(tested, ["a", "b"], "left_anti"), f"rest-{turn}")
+        tested = tested.unionByName(rest)
+        more = scratch.write(_verify(rest, docs, points, scratch, f"rest-{turn}", k, num, den), f"links-{turn}")
+        links = links.unionByName(more)
+        if more.limit(1).count():
+            found = scratch.write(components(links, scratch, f"components-{turn}"), f"found-{turn}")
+        tiles = tiles.select("signature", "node")
 
     # the smallest doc_id of each component, for every document
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left")
@@ -266,6 +305,8 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
 
 def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, scratch: Scratch, name: str, k: int, num: int, den: int) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = points.join(nodes, "node").select("node", "doc_id")
+    wanted = scratch.write(points.join(nodes, "node").select("node", "doc_id"), f"{name}-wanted")
+    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
+        wanted = F.broadcast(wanted)
     sets = scratch.write(_sets_of(docs, wanted, k), f"{name}-sets")
     return _verified(pairs, sets, num, den)
