@@ -40,6 +40,10 @@ def _ref(band: int, key: Column) -> Column:
     return F.struct(F.lit(band).alias("band_index"), key.cast("int").alias("bucket_key"))
 
 
+def _in_band(keys: Column, band: int) -> Column:
+    return F.transform(keys, lambda k: _ref(band, k))
+
+
 def index_refs(c: Column) -> Column:
     """The 25 (band_index, bucket_key) under which a fingerprint is found."""
     refs = [_ref(PREFIX_BAND, prefix_key(c))]
@@ -69,8 +73,7 @@ def similar_probes(c: Column, threshold: float) -> Column:
             for step in [s for s in range(-delta, delta + 1) if s]:
                 moved = key + F.shiftleft(F.lit(1), 12 - 4 * g) * step
                 keys.append(F.when((nibble + step).between(0, 15), F.array(moved)).otherwise(F.array().cast("array<int>")))
-        band = F.lit(BANDS + b)
-        out.append(F.transform(F.concat(*keys), lambda k, band=band: F.struct(band.alias("band_index"), k.alias("bucket_key"))))
+        out.append(_in_band(F.concat(*keys), BANDS + b))
     return F.array_distinct(F.concat(*out))
 
 
