@@ -208,4 +208,5 @@ def keep_identified(docs: DataFrame, scratch: Scratch, model: Model) -> DataFram
     """The documents whose language is determined, with all their columns; null ids stay."""
     found = identify(docs, scratch, model, host=F.col("source"))
     rejected = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(rejected, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    same = (docs["doc_id"] == rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_key"])
+    return docs.join(rejected, same, "left_anti")

@@ -162,16 +162,15 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     one document and keep their text; an empty table gives no rows; all other columns stay.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    removed = removals(docs, block_words).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "removed").withColumnRenamed("removed", "_removed")
-    keyed = docs.select(*own, F.xxhash64("text").alias("_text_key"))
-    joined = keyed.join(removed, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
+    gone = removals(docs, block_words).select(F.col("doc_id").alias("id"), "key", "removed")
+    # the row as one column: no other name of it meets those used here
+    rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
+    joined = rows.join(gone, ["id", "key"], "left")
+    text, removed = F.col("row.text"), F.col("removed")
+    joined = joined.withColumn("lines", F.when(removed.isNotNull(), F.split(text, "\n", -1)))
     # the numbers of the lines that stay, without a search for each line
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), _removed), i -> _lines[i]), '\\n')")
-    text = F.when(F.col("_removed").isNull(), F.col("text")).otherwise(kept)
-    lines = F.when(F.length("text") > 0, F.split("text", "\n", -1))
-    joined = joined.withColumn("_lines", F.when(F.col("_removed").isNotNull(), lines))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    columns = [text.alias("text") if c == "text" else F.col(c) for c in own]
-    return joined.select(*columns, n_lines.alias("n_lines"), F.when(F.col("_removed").isNull(), 0).otherwise(F.size("_removed")).cast("long").alias("n_removed"))
-
-
+    kept = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), removed), i -> lines[i]), '\\n')")
+    n_lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    columns = [F.when(removed.isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in own]
+    n_removed = F.when(removed.isNull(), 0).otherwise(F.size(removed))
+    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))

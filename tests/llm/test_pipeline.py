@@ -1,0 +1,65 @@
+"""The stages on planted documents, by what must go and what must stay."""
+
+import random
+
+import pytest
+
+import corpus_pipeline
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return [" ".join("".join(r.choice(("th", "er", "on", "an", "re", "he", "in", "ed")) for _ in range(r.randint(1, 4))) for _ in range(r.randint(6, 12))) + "." for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("sf")
+    passage = " ".join(prose(1000, 6))  # a line of more than 50 words
+    item = " ".join(prose(2000, 4))
+    texts = {i: "\n".join(prose(i, 8)) for i in range(60)}
+    texts[20] = texts[3]  # an exact copy
+    texts[21] = texts[4].replace("\n", " ")  # the words of another on one line
+    texts[22] += "\n" + passage
+    texts[23] += "\n" + passage + "\n" + "\n".join(prose(77, 2))
+    texts[24] += " " + item.upper() + " " + " ".join(prose(78, 3))
+    texts[25] = "%%% ### 123"
+    rows = [(i, t, "en", f"src{i % 3}", len(t)) for i, t in texts.items()] + [(None, "\n".join(prose(300, 3)), "en", None, 1), (61, None, None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, " ".join(prose(2001, 5)))], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return f"{path}"
+
+
+def test_stages(spark, folder):
+    docs, kept = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, folder).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert docs.columns == columns
+        kept[name] = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert 25 not in kept["language_id"] and 61 not in kept["language_id"] and None in kept["language_id"]
+    assert set(kept["language_id"]) - set(kept["line_dedup"]) == {20}
+    passage = " ".join(prose(1000, 6))
+    assert passage in kept["line_dedup"][22] and passage not in kept["line_dedup"][23]
+    assert kept["line_dedup"][23].endswith("\n".join(prose(77, 2)))
+    assert set(kept["line_dedup"]) - set(kept["ngram_jaccard"]) == {21}
+    assert set(kept["ngram_jaccard"]) - set(kept["decontamination"]) == {24}
+    last = {r["doc_id"]: r for r in corpus_pipeline.run(spark, folder).collect()}
+    assert set(last) == set(kept["decontamination"])
+    assert all(r["n_tokens"] == len(r["ids"]) for r in last.values())
+
+
+def test_clean_documents_stay(spark, folder, tmp_path):
+    rows = [(i, "\n".join(prose(500 + i, 6)), "en", "s", 1) for i in range(40)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(range(40))
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
