@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.llm import bpe, chat, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, chat, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, oracles, sharding, warc
 from pixelsieve.llm.common import Scratch, table
 
 SHARDS = 8
@@ -67,4 +67,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL can express neither patience diff (1), byte-level BPE (6) nor the classifier (7)."""
+    return {
+        "op2_license_scan": oracles.license_scan(),
+        "op3_embedding_neardup": oracles.embedding_neardup(COSINE),
+        "op4_decontamination": oracles.decontamination(),
+        "op5_tool_call_linking": oracles.tool_call_linking(),
+        "op8_sharding": oracles.sharding(SHARDS, sharding.ROWS_PER_BIN, sharding.MOST_BINS, sharding.MULTIPLIER),
+        "op9_ngram_jaccard": oracles.ngram_jaccard(4, 85, 100),
+        "op10_warc": oracles.warc(),
+    }
