@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from pixelsieve.llm.common import bounded_batches
 
 _NONE = 1 << 30
-#: Pre-tokens up to so many characters are remembered, and so many of them in a worker.
-REMEMBER_CHARS, REMEMBER = 48, 600_000
+#: Pre-tokens up to so many characters are remembered, and at most twice so many in a worker.
+REMEMBER_CHARS, REMEMBER = 48, 150_000
 
 
 class Codec:
@@ -95,16 +95,20 @@ class Codec:
 
 
 class _Known(dict):
-    """Packed ids by pre-token; forgets all when full, so a worker's memory is bounded."""
+    """Packed ids by pre-token, in two generations: when the younger is full it becomes the older,
+    which is forgotten but for what is asked again. A worker's memory is bounded."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.older = codec, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.merge(piece.encode()), "<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = np.array(self.codec.merge(piece.encode()), "<u4").tobytes()
         if len(piece) <= REMEMBER_CHARS:
             if len(self) >= REMEMBER:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
