@@ -137,11 +137,9 @@ def host_priors(rows: DataFrame, classes: list[str]) -> DataFrame:
     """host, prior: the language shares of each host, by way of its site and its suffix."""
     hosts = rows.where("host IS NOT NULL").groupBy("host").agg(F.first("site", True).alias("site"), F.first("suffix", True).alias("suffix"), F.array(*[F.count_if(F.col("text_language") == c).cast("double") for c in classes]).alias("n"))
     add = [F.sum(F.col("n")[i]) for i in range(len(classes))]
-    whole = hosts.agg(F.array(*[F.coalesce(x, F.lit(0.0)) for x in add]).alias("n"))
-    uniform = F.array(*[F.lit(1 / len(classes)) for _ in classes])
-    whole = whole.select(_smoothed("n", uniform, float(len(classes))).alias("all_prior"))
-    suffixes = hosts.groupBy("suffix").agg(F.array(*add).alias("n")).crossJoin(F.broadcast(whole))  # one row
-    suffixes = suffixes.select("suffix", _smoothed("n", F.col("all_prior"), HOST_WEIGHT).alias("suffix_prior"))
+    whole = hosts.agg(*[F.coalesce(x, F.lit(0.0)) for x in add]).first()  # a number for each class
+    everywhere = F.array(*[F.lit((n + 1.0) / (sum(whole) + len(classes))) for n in whole])
+    suffixes = hosts.groupBy("suffix").agg(F.array(*add).alias("n")).select("suffix", _smoothed("n", everywhere, HOST_WEIGHT).alias("suffix_prior"))
     sites = hosts.groupBy("site", "suffix").agg(F.array(*add).alias("n")).alias("s")
     sites = sites.join(suffixes.alias("x"), F.col("s.suffix").eqNullSafe(F.col("x.suffix"))).select("s.site", "s.suffix", _smoothed("n", F.col("suffix_prior"), HOST_WEIGHT).alias("site_prior"))
     joined = hosts.alias("h").join(sites.alias("s"), F.col("h.site").eqNullSafe(F.col("s.site")) & F.col("h.suffix").eqNullSafe(F.col("s.suffix")))
@@ -169,9 +167,9 @@ def identify(rows: DataFrame, scratch: Scratch, model: Model, key: str = "doc_id
 
     # how often texts of each language declare each value; a value nobody declares tells nothing
     shares = _counts(own, "declared", classes)
-    totals = own.where("declared IS NOT NULL").agg(F.array(*[F.count_if(F.col("text_language") == c).cast("double") for c in classes]).alias("t"), F.count_distinct("declared").cast("double").alias("v"))
-    shares = shares.crossJoin(F.broadcast(totals))  # one row
-    shares = shares.select("declared", F.zip_with("n", "t", lambda a, t: F.log((a + DECLARED_WEIGHT) / (t + F.lit(DECLARED_WEIGHT) * F.col("v")))).alias("said"))
+    *totals, values = shares.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0.0)) for i in range(len(classes))], F.count("*")).first()
+    whole = F.array(*[F.lit(t + DECLARED_WEIGHT * max(1, values)) for t in totals])
+    shares = shares.select("declared", F.zip_with("n", whole, lambda a, t: F.log((a + DECLARED_WEIGHT) / t)).alias("said"))
     priors = host_priors(own, classes)
 
     none = F.array(*[F.lit(0.0) for _ in classes])
