@@ -70,8 +70,7 @@ def candidate_counts(queries: DataFrame, catalog: DataFrame, config: MatchConfig
     counts = queries.select("query_id").join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
     counts = counts.withColumn("n", F.coalesce("n", F.lit(0)))
     if mode == "nearest":
-        size = catalog.agg(F.count("*").alias("size"))
-        counts = counts.crossJoin(F.broadcast(size)).withColumn("n", F.when(F.col("n") == 0, F.col("size")).otherwise(F.col("n")))  # one row
+        counts = counts.withColumn("n", F.when(F.col("n") == 0, F.lit(catalog.count())).otherwise(F.col("n")))
     return counts.select("query_id", F.col("n").cast("long").alias("candidates"))
 
 

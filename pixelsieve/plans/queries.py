@@ -461,7 +461,8 @@ def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SYNTHETIC_SQL}, {BUCKETS_SQL} SELECT (SELECT count(*) FROM catalog) AS fingerprint_count, (SELECT count(*) FROM refs) AS bucket_count")
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalog = synthetic_catalog(spark, sf_dir)
-    return catalog.agg(F.count("*").alias("fingerprint_count")).crossJoin(buckets.buckets(catalog).agg(F.count("*").alias("bucket_count")))  # one row each
+    counted = buckets.buckets(catalog).groupBy("id").agg(F.count("*").alias("n"))
+    return catalog.join(counted, "id", "left").agg(F.count("*").alias("fingerprint_count"), F.sum("n").alias("bucket_count"))
 
 
 @query(f"""WITH enrolled AS (SELECT doc_id, lower(to_hex(rank)) AS id FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS rank FROM documents))

@@ -92,8 +92,8 @@ class FingerprintStore:
     def stats(self) -> DataFrame:
         """One row: fingerprint_count, bucket_count, file_size_bytes."""
         size = self._fs(self.path).getContentSummary(self._hadoop(self.path)).getLength()
-        counts = self.records().agg(F.count("*").alias("fingerprint_count")).crossJoin(self.buckets().agg(F.count("*").alias("bucket_count")))  # one row each
-        return counts.withColumn("file_size_bytes", F.lit(int(size)).cast("long"))
+        row = (self.records().count(), self.buckets().count(), int(size))
+        return self.spark.createDataFrame([row], "fingerprint_count long, bucket_count long, file_size_bytes long")
 
     def _replace(self, name: str, rows: DataFrame) -> None:
         """Writes beside the old table, then renames."""
