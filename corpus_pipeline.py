@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes blocks of lines that an earlier document has; drops documents of which nothing is left."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, Scratch(spark))
     nothing = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"\S")
     out = out.where(~F.coalesce(nothing, F.lit(False)))
     counted = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import bounded_batches
+from pixelsieve.llm.common import Scratch, bounded_batches
 
 #: A block of consecutive aligned lines goes when it has so many words.
 BLOCK_WORDS = 8
@@ -132,13 +132,17 @@ def _lines(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "key", F.inline("lines"))
 
 
-def removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, key (hash of the text), removed: the line numbers that go from a document."""
+def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, key (hash of the text), removed: the line numbers that go from a document.
+
+    Lines and their first holders are written tables: the texts are split into lines once, and the
+    join of the two is one whose large partitions the engine can split where a line is very common.
+    """
     bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    lines = _lines(texts)
+    lines = scratch.write(_lines(texts), "lines")
     first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "at")).alias("f"), F.max(F.struct("doc_id", "key")).alias("last"))
-    first = first.where("f.doc_id <> last.doc_id OR f.key <> last.key").select("hash", "f")
+    first = scratch.write(first.where("f.doc_id <> last.doc_id OR f.key <> last.key").select("hash", "f"), "first")
     later = lines.join(first, "hash").where("doc_id > f.doc_id OR (doc_id = f.doc_id AND key > f.key)")
     match = F.struct(F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"), "hash", "words", "at", F.col("f.at").alias("first_at"))
     # all lines of one document: bounded by that document
@@ -152,7 +156,7 @@ def removals(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     return grouped.mapInArrow(run, "doc_id long, key long, removed array<int>").where("size(removed) > 0")
 
 
-def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Deletes from each document the blocks that an earlier one holds; adds n_lines, n_removed.
 
     Earlier is the smaller doc_id, then the smaller hash of the text. Lines are compared without
@@ -162,7 +166,7 @@ def dedup_lines(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     one document and keep their text; an empty table gives no rows; all other columns stay.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs, block_words).select(F.col("doc_id").alias("id"), "key", "removed")
+    gone = removals(docs, scratch, block_words).select(F.col("doc_id").alias("id"), "key", "removed")
     # the row as one column: no other name of it meets those used here
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     joined = rows.join(gone, ["id", "key"], "left")

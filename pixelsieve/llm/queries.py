@@ -16,7 +16,7 @@ COSINE = 0.93
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,7 +115,7 @@ def test_line_dedup_by_brute_force(spark):
             own += r.choice(blocks) + prose(r, 1)
         texts[i] = "\n".join(own)
     df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(df).collect()}
+    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(df, Scratch(spark)).collect()}
     first = {}
     for i, t in texts.items():
         lines = t.split("\n")

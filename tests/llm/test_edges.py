@@ -62,12 +62,12 @@ def test_bpe(docs, none):
 
 
 def test_line_dedup(docs, none):
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, Scratch(docs.sparkSession))
     assert set(docs.columns) <= set(out.columns) and out.count() == len(ROWS)
     rows = by_id(out)
     assert rows[1][0]["text"] is None and rows[1][0]["n_lines"] == 0
     assert sorted(r["text"] == LONG for r in rows[4]) == [False, True, True]  # equal rows are one document
-    assert line_dedup.dedup_lines(none).count() == 0
+    assert line_dedup.dedup_lines(none, Scratch(none.sparkSession)).count() == 0
 
 
 def test_licenses(docs, none):
