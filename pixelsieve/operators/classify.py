@@ -88,7 +88,7 @@ def mapped_scores(scores: Column, mapping: OutputMapping) -> Column:
     n = len(mapping.labels)
     if not n:
         return failed("missing_labels")
-    block = F.expr("1") * (F.size(scores) / F.lit(n)).cast("int")
+    block = (F.size(scores) / F.lit(n)).cast("int")
     means = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(F.slice(scores, i * block + 1, block), F.lit(0.0).cast("float"), lambda a, x: (a + x).cast("float")) / block.cast("float"))
     means = F.when(F.size(scores) == n, scores.cast("array<double>")).otherwise(F.transform(means, lambda x: x.cast("float").cast("double")))
     best = F.array_max(means)

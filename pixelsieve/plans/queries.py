@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelsieve.functions import buckets, codec, distance, kernel
+from pixelsieve.functions import bloom, buckets, codec, distance, kernel
 from pixelsieve.functions.synthetic import synthetic_components
 from pixelsieve.operators import classify, evaluate, policy, scan, search
 from pixelsieve.sources import datasets
@@ -254,6 +254,15 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.exact_matches(perturbed_queries(catalog), catalog)
 
 
+@query(f"WITH {SYNTHETIC_SQL}, {QUERIES_SQL}, {_EXACT_SQL} SELECT query_id FROM exact")
+def bloom_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact lookups behind a Bloom filter: the filter turns away no match."""
+    catalog = synthetic_catalog(spark, sf_dir)
+    bits, hashes = bloom.size(catalog.count())
+    asked = bloom.might_contain(perturbed_queries(catalog), bloom.build(catalog, bits, hashes), bits, hashes)
+    return search.exact_matches(asked, catalog).select("query_id")
+
+
 def _search_query(fixture: Callable, run: Callable) -> Query:
     def own(spark: SparkSession, sf_dir: str) -> DataFrame:
         catalog = fixture(spark, sf_dir)

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pixelsieve.functions import buckets, codec, distance, registry
+from pixelsieve.functions import bloom, buckets, codec, distance, registry
 from pixelsieve.functions.synthetic import synthetic_components
 from pixelsieve.types import MatchConfig, parse_metric
 
@@ -106,3 +106,13 @@ def test_synthetic(spark):
     c = one(spark, c=synthetic_components(F.lit(300)), d=synthetic_components(F.lit(7), 3, shifted=False))
     assert c.c == [(300 + 17 * i + (300 >> 4)) % 256 for i in range(144)] and c.d == [(7 + 3 * i) % 256 for i in range(144)]
     assert distance.stack(pd.Series([bytes(range(144))])).tolist() == [list(range(144))]
+
+
+def test_bloom(spark):
+    assert bloom.size(0) == (0, 0) and bloom.size(1) == (64, 44) and bloom.size(1000) == (9586, 7)
+    table = lambda lo, hi: spark.range(lo, hi).select(F.col("id").alias("query_id"), F.lit(1).alias("algorithm"), F.lit(1).alias("version"), F.unhex(F.hex("id")).alias("bytes"))
+    bits, hashes = bloom.size(1000)
+    words = bloom.build(table(0, 1000), bits, hashes)
+    assert bloom.might_contain(table(0, 1000), words, bits, hashes).count() == 1000
+    assert bloom.might_contain(table(10_000, 12_000), words, bits, hashes).count() < 60
+    assert bloom.might_contain(table(0, 10), words, 0, 0).count() == 0
