@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, components, list_array, mix64, shingle_hashes, utf8_chunks, whole_hash, words_of
 
 #: Coordinates of a point, members of a leaf, and members of a block of a tile.
-DIMENSIONS, LEAF, BLOCK = 512, 32, 1024
+DIMENSIONS, LEAF, BLOCK = 512, 32, 512
 #: Rounds in which tiles only yield pairs that would join components, and rows that are broadcast.
 JOINING_ROUNDS, BROADCAST_ROWS = 2, 500_000
 _SHIFT = np.uint64(64 - DIMENSIONS.bit_length() + 1)
@@ -207,7 +207,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 
 def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> DataFrame:
-    """Pairs of different components within tiles (signature, node, part, point, n), by R-trees.
+    """(signature, a, b): pairs of different components within tiles (signature, node, part, point, n).
 
     Tiles of more than BLOCK sets are cut into blocks that meet pair by pair, so that a task
     holds two blocks at most.
@@ -218,8 +218,8 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
     cut = cut.select("signature", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "part", "point", "n")
     cut = cut.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi")
 
-    def tile(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, part = rows["node"].to_numpy(), rows["part"].to_numpy()
+    def tile(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        node, part, signature = (rows[c].to_numpy() for c in ("node", "part", "signature"))
         points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
         lo, hi, i = (rows[c].to_numpy() for c in ("lo", "hi", "i"))
         first = (i == lo) | (lo == hi)
@@ -229,11 +229,11 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
         if only_joining:
             keep = joining(part, x, y)
             x, y = x[keep], y[keep]
-        return np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        return signature[: len(x)], np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.Table) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in tile(rows)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in tile(rows)], names=["signature", "a", "b"])
 
         held: list[pa.RecordBatch] = []  # the rows of the last tile seen, which may go on
         for batch in batches:
@@ -249,7 +249,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
         if held:
             yield out(pa.Table.from_batches(held))
 
-    return cut.mapInArrow(run, "a long, b long").distinct()
+    return cut.mapInArrow(run, "signature long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,14 +286,16 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
         tiles = scratch.write(split.join(open_tiles, "signature"), f"tiles-{turn}")
         if not tiles.limit(1).count():
             break
-        rest = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn < JOINING_ROUNDS)
-        rest = scratch.write(rest.join(tested, ["a", "b"], "left_anti"), f"rest-{turn}")
+        close = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn < JOINING_ROUNDS)
+        close = scratch.write(close, f"close-{turn}")
+        rest = scratch.write(close.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"rest-{turn}")
         tested = tested.unionByName(rest)
         more = scratch.write(_verify(rest, docs, points, scratch, f"rest-{turn}", k, num, den), f"links-{turn}")
         links = links.unionByName(more)
         if more.limit(1).count():
             found = scratch.write(components(links, scratch, f"components-{turn}"), f"found-{turn}")
-        tiles = tiles.select("signature", "node")
+        # a tile without a pair now has none later: components only merge
+        tiles = tiles.join(close.select("signature").distinct(), "signature", "left_semi").select("signature", "node")
 
     # the smallest doc_id of each component, for every document
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left")
