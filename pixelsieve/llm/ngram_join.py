@@ -229,7 +229,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
         if only_joining:
             keep = joining(part, x, y)
             x, y = x[keep], y[keep]
-        return signature[: len(x)], np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        return np.full(len(x), signature[0]), np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.Table) -> pa.RecordBatch:

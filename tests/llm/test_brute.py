@@ -192,6 +192,12 @@ def test_tree_yields_all_pairs(spark):
     assert split == {(i, j) for i, j in want if first[i] != first[j]}
 
 
+def test_all_pairs_of_open_tiles(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "JOINING_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 24)
+    test_ngram_join_by_brute_force(spark, 2, 50)
+
+
 def test_blocks_of_large_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 16)
     test_ngram_join_by_brute_force(spark, 4, 85)
