@@ -33,6 +33,7 @@ from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, component
 
 #: Coordinates of a point, members of a leaf, and members of a block of a tile.
 DIMENSIONS, LEAF, BLOCK = 512, 32, 512
+BOTH_SIDES, OUT_SIDE, ALL_SIDE = 0, 1, 2
 #: Rounds in which tiles only yield pairs that would join components, and rows that are broadcast.
 JOINING_ROUNDS, BROADCAST_ROWS = 2, 500_000
 _SHIFT = np.uint64(64 - DIMENSIONS.bit_length() + 1)
@@ -209,20 +210,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> DataFrame:
     """(signature, a, b): pairs of different components within tiles (signature, node, part, point, n).
 
-    Tiles of more than BLOCK sets are cut into blocks that meet pair by pair, so that a task
-    holds two blocks at most.
+    A pair of different components has a set outside the tile's largest one. A tile of more than
+    BLOCK sets is therefore cut into blocks of those outside and blocks of all, which meet pair by
+    pair: a task holds two blocks at most, and where few sets are outside, the rows stay linear.
     """
-    sizes = tiles.groupBy("signature").agg(F.expr(f"CAST(CEIL(COUNT(*) / {BLOCK}) AS INT)").alias("blocks"))
-    cut = tiles.join(sizes, "signature").withColumn("i", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("signature", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "node", "part", "point", "n")
+    parts = tiles.groupBy("signature", "part").agg(F.count("*").alias("k")).groupBy("signature")
+    sizes = parts.agg(F.max_by("part", F.struct("k", "part")).alias("largest"), F.sum("k").alias("k"), F.max("k").alias("inside"))
+    blocks = lambda x: F.ceil(x / BLOCK).cast("int")
+    sizes = sizes.select("signature", "largest", blocks(F.col("k")).alias("all_blocks"), blocks(F.col("k") - F.col("inside")).alias("out_blocks"))
+    cut = tiles.join(sizes, "signature")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda side, i, j: F.struct(F.lit(side).alias("side"), i.alias("lo"), j.alias("hi"))
+    zero = F.lit(0)
+    against = F.transform(every("out_blocks"), lambda i: place(ALL_SIDE, i, own("all_blocks")))
+    outside = F.when(F.col("part") != F.col("largest"), F.transform(every("all_blocks"), lambda j: place(OUT_SIDE, own("out_blocks"), j)))
+    places = F.when(F.col("all_blocks") == 1, F.array(place(BOTH_SIDES, zero, zero))).otherwise(F.concat(against, F.coalesce(outside, F.slice(against, 1, 0))))
+    cut = cut.select("signature", F.inline(places), "node", "part", "point", "n").select("signature", "lo", "hi", "side", "node", "part", "point", "n")
     cut = cut.repartition("signature", "lo", "hi").sortWithinPartitions("signature", "lo", "hi")
 
     def tile(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node, part, signature = (rows[c].to_numpy() for c in ("node", "part", "signature"))
         points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
-        lo, hi, i = (rows[c].to_numpy() for c in ("lo", "hi", "i"))
-        first = (i == lo) | (lo == hi)
+        first = rows["side"].to_numpy() != ALL_SIDE
         found = list(packed_tree_pairs(points, rows["n"].to_numpy(), part, first, num, den))
         x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
