@@ -70,13 +70,13 @@ def bounded_batches(spark: SparkSession) -> None:
     """Bounds the bytes of an Arrow batch, so that very long texts don't fill a Python worker."""
     name, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
     if spark.conf.get(name) == default:
-        spark.conf.set(name, "16m")
+        spark.conf.set(name, "8m")
 
 
 # --- texts in Arrow batches -------------------------------------------------------------------
 
 #: Texts are hashed in pieces of about so many bytes, so that memory doesn't follow batch sizes.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32  # A-Z only
