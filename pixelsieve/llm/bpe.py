@@ -22,7 +22,7 @@ from pixelsieve.llm.common import bounded_batches
 
 _NONE = 1 << 30
 #: Pre-tokens up to so many characters are remembered, and at most twice so many in a worker.
-REMEMBER_CHARS, REMEMBER = 48, 150_000
+REMEMBER_CHARS, REMEMBER = 48, 300_000
 
 
 class Codec:
