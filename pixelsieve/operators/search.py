@@ -144,6 +144,7 @@ def nearest(queries: DataFrame, catalog: DataFrame, config: MatchConfig = MatchC
         return _nearest_result(queries, exact, scan_nearest(rest, unique, config))
     pairs = _measured(nearest_candidates(rest, unique), rest, unique, config)
     near = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "probe", "seq", "id", "label")).alias("b")).select("query_id", "b.id", "b.seq", "b.label", "b.distance")
+    near = near.persist()  # a row for each query: which are missed decides how the scan is cut
     missed = rest.join(near, "query_id", "left_anti")
     return _nearest_result(queries, exact, near.unionByName(scan_nearest(missed, unique, config)))
 
