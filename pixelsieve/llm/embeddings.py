@@ -8,17 +8,18 @@ precision, so the bound decides nothing but the work.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelsieve.llm.common import Scratch, components
+from pixelsieve.llm.ngram_join import joining
 
 #: Vectors of a block: a tile holds two of them, and its product takes BLOCK**2 floats.
 BLOCK = 2048
+#: Rows of a tile whose bounds are looked at together.
+STRIP = 32
 #: Slack for the rounding of the bounds themselves, far above the error of 64-bit sums.
 SLACK = 1e-9
 
@@ -38,41 +39,54 @@ def tile_links(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarr
     # whole numbers below 2**24 for up to 1,040 dimensions are exact in single precision
     kind = np.float32 if a.shape[1] <= 1040 else np.float64
     product = qa.astype(kind) @ qb.astype(kind).T
-    x, y = [], []
-    for at in range(0, len(a), 256):  # the bound in strips: memory stays at a strip of doubles
-        s = slice(at, at + 256)
+    x, y, full = [], [], 0
+    for at in range(0, len(a), STRIP):  # bounds and pairs in strips: memory stays at a strip of a dense tile
+        s = slice(at, at + STRIP)
         upper = product[s] * sa[s, None] * sb + ba[s, None] * eb + ea[s, None] * (bb + eb)
         i, j = np.nonzero(upper >= threshold - SLACK)
-        x.append(i + at)
-        y.append(j)
-    x, y = np.concatenate(x), np.concatenate(y)
-    exact = np.einsum("ij,ij->i", a[x], b[y]) / (na[x] * nb[y])
-    return x[exact >= threshold], y[exact >= threshold], len(x)
+        i += at
+        exact = np.einsum("ij,ij->i", a[i], b[j]) / (na[i] * nb[j])
+        full += len(i)
+        x.append(i[exact >= threshold])
+        y.append(j[exact >= threshold])
+    return np.concatenate(x), np.concatenate(y), full
 
 
 def class_links(classes: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): linked classes of one label, a < b; every pair of a label is compared in one tile."""
-    sizes = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("n"))
-    sizes = sizes.select("label", "dim", F.expr(f"CAST(CEIL(n / {BLOCK}) AS INT)").alias("blocks"))
+    """(a, b, others) of classes (class, n, label, vector): every pair of a label is compared in one tile.
+
+    A tile yields two kinds of rows, as many as it has classes at most: with b null, how many
+    vectors of other classes class a links with in it; else, links that join the tile's
+    components. Links themselves would be as many as the square of a dense group.
+    """
+    sizes = classes.groupBy("label", F.size("vector").alias("dim")).agg(F.count("*").alias("k"))
+    sizes = sizes.select("label", "dim", F.expr(f"CAST(CEIL(k / {BLOCK}) AS INT)").alias("blocks"))
     placed = classes.withColumn("dim", F.size("vector")).join(sizes, ["label", "dim"])
     placed = placed.withColumn("i", F.pmod(F.xxhash64("class"), "blocks").cast("int"))
     placed = placed.withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("label", "dim", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "class", "vector")
+    placed = placed.select("label", "dim", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "class", "n", "vector")
 
-    def run(key: tuple, tile: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
         _, _, lo, hi = key
         mine = (tile["i"] == lo).to_numpy()
-        ids = tile["class"].to_numpy()
-        vectors = np.stack(tile["vector"].to_numpy()).astype(np.float64)
+        ids, n = tile["class"].to_numpy(), tile["n"].to_numpy()
         other = mine if lo == hi else ~mine
-        if not mine.any() or not other.any():
-            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-        x, y, _ = tile_links(vectors[mine], vectors[other], threshold)
-        x, y = ids[mine][x], ids[other][y]
-        keep = x < y if lo == hi else np.ones(len(x), bool)
-        return pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep]})
-
-    return placed.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "a long, b long")
+        a, b, others = [], [], []
+        if mine.any() and other.any():
+            vectors = np.stack(tile["vector"].to_numpy()).astype(np.float64)
+            x, y, _ = tile_links(vectors[mine], vectors[other], threshold)
+            x, y = np.flatnonzero(mine)[x], np.flatnonzero(other)[y]
+            keep = ids[x] != ids[y] if lo != hi else (ids[x] != ids[y]) & (x < y)
+            x, y = x[keep], y[keep]
+            counts = np.bincount(x, n[y], len(ids)) + np.bincount(y, n[x], len(ids))
+            linked = np.flatnonzero(counts)
+            forest = joining(np.arange(len(ids)), x, y)
+            a = [*ids[linked], *np.minimum(ids[x[forest]], ids[y[forest]])]
+            b = [*[None] * len(linked), *np.maximum(ids[x[forest]], ids[y[forest]])]
+            others = [*counts[linked].astype(np.int64), *[None] * int(forest.sum())]
+        return pd.DataFrame({"a": pd.array(a, "Int64"), "b": pd.array(b, "Int64"), "others": pd.array(others, "Int64")})
+
+    return placed.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "a long, b long, others long")
 
 
 def near_duplicates(rows: DataFrame, scratch: Scratch, threshold: float = 0.93) -> DataFrame:
@@ -91,10 +105,9 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, threshold: float = 0.93)
     sound_rows = keyed.where("sound")
     classes = sound_rows.groupBy("key").agg(F.min("vec_id").alias("class"), F.count_distinct("vec_id").alias("n"), F.first("label").alias("label"), F.first("vector").alias("vector"))
     classes = scratch.write(classes, "classes")
-    links = scratch.write(class_links(classes, threshold).where("a <> b").distinct(), "links")
-    found = components(links, scratch, "vector-components")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = both.join(classes.groupBy(F.col("class").alias("b")).agg(F.sum("n").alias("n")), "b").groupBy("a").agg(F.sum("n").alias("others"))
+    links = scratch.write(class_links(classes, threshold), "links")
+    found = components(links.where("b IS NOT NULL").select("a", "b"), scratch, "vector-components")
+    weight = links.where("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
     facts = classes.select("key", "class", "n").join(weight, F.col("class") == F.col("a"), "left").join(found, F.col("class") == F.col("node"), "left")
     facts = facts.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
     out = keyed.select("vec_id", "key").join(facts, "key", "left")
