@@ -110,6 +110,7 @@ def near_duplicates(rows: DataFrame, scratch: Scratch, threshold: float = 0.93)
     weight = links.where("b IS NULL").groupBy("a").agg(F.sum("others").alias("others"))
     facts = classes.select("key", "class", "n").join(weight, F.col("class") == F.col("a"), "left").join(found, F.col("class") == F.col("node"), "left")
     facts = facts.select("key", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
+    facts = scratch.write(facts, "facts")  # so that the join can be split where a class has very many copies
     out = keyed.select("vec_id", "key").join(facts, "key", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -170,7 +170,8 @@ def identify(rows: DataFrame, scratch: Scratch, model: Model, key: str = "doc_id
     *totals, values = shares.agg(*[F.coalesce(F.sum(F.col("n")[i]), F.lit(0.0)) for i in range(len(classes))], F.count("*")).first()
     whole = F.array(*[F.lit(t + DECLARED_WEIGHT * max(1, values)) for t in totals])
     shares = shares.select("declared", F.zip_with("n", whole, lambda a, t: F.log((a + DECLARED_WEIGHT) / t)).alias("said"))
-    priors = host_priors(own, classes)
+    # written tables: small ones are broadcast, else the engine can split the joins at a common value
+    shares, priors = scratch.write(shares, "shares"), scratch.write(host_priors(own, classes), "priors")
 
     none = F.array(*[F.lit(0.0) for _ in classes])
     joined = own.join(shares, "declared", "left").join(priors, "host", "left")

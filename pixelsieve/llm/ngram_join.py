@@ -311,6 +311,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left")
     whole = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("whole"))
     named = classes.join(whole, "component", "left").where("n > 1 OR whole IS NOT NULL").select("node", F.coalesce("whole", "least").alias("component_id"))
+    named = scratch.write(named, "named")  # so that the join can be split where a class has very many copies
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 

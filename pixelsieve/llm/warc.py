@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import bounded_batches
+from pixelsieve.llm.common import Scratch, bounded_batches
 
 # Fixed values of the formats: magic numbers of the dictionary's frame and of the empty frame,
 # and the profile of a record whose payload is stored elsewhere.
@@ -123,17 +123,17 @@ def read_archive(archive: bytes) -> Iterator[dict]:
             reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(bytes(frame[8:])))
 
 
-def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def with_revisits(pages: DataFrame, scratch: Scratch, least_bytes: int = 0) -> DataFrame:
     """Adds refers_to: the largest page_id of equal payloads, on the others that have an id.
 
     Payloads shorter than ``least_bytes`` never refer. The largest ids are partial aggregates, so
-    copies combine before the shuffle; the join that follows is one that the engine splits where
-    one payload has very many copies.
+    copies combine before the shuffle, and a written table of the payloads that have copies: where
+    it is small the engine broadcasts it, else it splits the join where a payload has very many.
     """
     key = F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)
     long = F.octet_length(F.coalesce("html", F.lit(""))) >= least_bytes
     last = pages.where(long).select(key.alias("_key"), "page_id").groupBy("_key").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n"))
-    last = last.where("_n > 1").select("_key", "_last")
+    last = scratch.write(last.where("_n > 1").select("_key", "_last"), "copied-payloads")
     joined = pages.withColumn("_key", F.when(long, key)).join(last, "_key", "left")
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("_last"), F.col("_last")).alias("refers_to"))
 
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                 rows += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    lines = with_revisits(pages, least_bytes).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    lines = with_revisits(pages, Scratch(pages.sparkSession), least_bytes).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS + 1).text(path)
 
 
