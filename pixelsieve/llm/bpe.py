@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pixelsieve.llm.common import bounded_batches
+from pixelsieve.llm.common import bounded_batches, tidy
 
 _NONE = 1 << 30
 #: Pre-tokens up to so many characters are remembered, and at most twice so many in a worker.
@@ -153,6 +153,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text: str = "text", k
             kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
             made = [pa.array(x, k) for x, k in zip(columns[: len(own)], kinds, strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *own])
+        c.known.older = {}
 
     kinds = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType(), "ids": T.ArrayType(T.IntegerType())}
-    return taken.mapInArrow(run, T.StructType([*schema, *(T.StructField(c, kinds[c]) for c in own)]))
+    return taken.mapInArrow(tidy(run), T.StructType([*schema, *(T.StructField(c, kinds[c]) for c in own)]))

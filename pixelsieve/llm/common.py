@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +75,24 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "8m")
 
 
+def tidy(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """A function of Arrow batches that gives free memory back when its task ends.
+
+    Workers wait for further tasks, more of them than run at a time; what their allocators keep
+    would otherwise add up on an executor.
+    """
+
+    def tidied(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 # --- texts in Arrow batches -------------------------------------------------------------------
 
 #: Texts are hashed in pieces of about so many bytes, so that memory doesn't follow batch sizes.

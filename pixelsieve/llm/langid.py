@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import Scratch, bounded_batches, utf8_chunks
+from pixelsieve.llm.common import Scratch, bounded_batches, tidy, utf8_chunks
 
 UNDETERMINED = "und"
 #: Buckets of trigrams; training rows for each language and their longest text in characters.
@@ -119,7 +119,7 @@ def text_evidence(rows: DataFrame, model: Model, columns: dict[str, Column]) ->
             made = [evidence, pa.array(n, pa.int64()), pa.array(best, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made], names=[*names, "evidence", "n_letters", "text_language"])
 
-    return own.mapInArrow(run, f"{kinds}, evidence array<double>, n_letters long, text_language string")
+    return own.mapInArrow(tidy(run), f"{kinds}, evidence array<double>, n_letters long, text_language string")
 
 
 def _counts(rows: DataFrame, by: str, classes: list[str]) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import ALNUM_OR_HIGH, bounded_batches, list_array, shingle_hashes, utf8_chunks, words_of
+from pixelsieve.llm.common import ALNUM_OR_HIGH, bounded_batches, list_array, shingle_hashes, tidy, utf8_chunks, words_of
 
 #: Words of a rolling hash, offset by which neighbouring diagonals differ, share of a template.
 WORDS, NEIGHBOUR, SHARE = 4, 4, 0.5
@@ -106,7 +106,7 @@ def _scan(docs: DataFrame, phrases: dict[str, str]) -> DataFrame:
             made = [pa.array(r, pa.string() if i == 4 else pa.int64()) for i, r in enumerate(rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "n_words", "n_base", "first_word", "last_word", "base_labels"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base_labels string")
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, n_words long, n_base long, first_word long, last_word long, base_labels string")
 
 
 def _grams(docs: DataFrame, k: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
                 ids = [batch.column(i).slice(first, len(counts)) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*ids, list_array(grams, pa.int64())], names=["doc_id", "key", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("position", "hash"))
+    return docs.mapInArrow(tidy(run), "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("position", "hash"))
 
 
 def votes(docs: DataFrame, templates: dict[str, str], k: int, neighbour: int, share: float) -> DataFrame:

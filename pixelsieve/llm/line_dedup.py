@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import Scratch, bounded_batches
+from pixelsieve.llm.common import Scratch, bounded_batches, tidy
 
 #: A block of consecutive aligned lines goes when it has so many words.
 BLOCK_WORDS = 8
@@ -128,7 +128,7 @@ def _lines(docs: DataFrame) -> DataFrame:
                 rows.append(list(found.values()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(schema))], names=["doc_id", "key", "lines"])
 
-    made = docs.mapInArrow(run, f"doc_id long, key long, lines array<struct<hash:long,words:int,at:{_AT}>>")
+    made = docs.mapInArrow(tidy(run), f"doc_id long, key long, lines array<struct<hash:long,words:int,at:{_AT}>>")
     return made.select("doc_id", "key", F.inline("lines"))
 
 
@@ -153,7 +153,7 @@ def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS)
             removed = [removed_lines(m.as_py(), block_words) for m in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "key", "removed"])
 
-    return grouped.mapInArrow(run, "doc_id long, key long, removed array<int>").where("size(removed) > 0")
+    return grouped.mapInArrow(tidy(run), "doc_id long, key long, removed array<int>").where("size(removed) > 0")
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, components, list_array, mix64, shingle_hashes, utf8_chunks, whole_hash, words_of
+from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, components, list_array, mix64, shingle_hashes, tidy, utf8_chunks, whole_hash, words_of
 
 #: Coordinates of a point, members of a leaf, and members of a block of a tile.
 DIMENSIONS, LEAF, BLOCK = 512, 32, 512
@@ -164,7 +164,7 @@ def _prepare(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "node", "signatures", "point"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_shingles long, node long, signatures array<long>, point binary")
+    return texts.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, signatures array<long>, point binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -178,7 +178,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(wanted, "doc_id").select(F.col("node").alias("wanted"), "text")
-    found = found.mapInArrow(run, "wanted long, node long, members array<long>").where("wanted = node")
+    found = found.mapInArrow(tidy(run), "wanted long, node long, members array<long>").where("wanted = node")
     return found.select("node", "members").dropDuplicates(["node"])  # rows may repeat a document
 
 
@@ -196,7 +196,7 @@ def _bounded(pairs: DataFrame, points: DataFrame, num: int, den: int) -> DataFra
 
     own = pairs.join(points.select(F.col("node").alias("a"), F.col("point").alias("p"), F.col("n").alias("m")), "a")
     own = own.join(points.select(F.col("node").alias("b"), F.col("point").alias("q"), "n"), "b").select("a", "b", "p", "q", "m", "n")
-    return own.mapInArrow(run, "a long, b long")
+    return own.mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
         if held:
             yield out(pa.Table.from_batches(held))
 
-    return cut.mapInArrow(run, "signature long, a long, b long")
+    return cut.mapInArrow(tidy(run), "signature long, a long, b long")
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

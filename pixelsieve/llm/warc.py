@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelsieve.llm.common import Scratch, bounded_batches
+from pixelsieve.llm.common import Scratch, bounded_batches, tidy
 
 # Fixed values of the formats: magic numbers of the dictionary's frame and of the empty frame,
 # and the profile of a record whose payload is stored elsewhere.
@@ -159,7 +159,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
                 rows += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
 
-    lines = with_revisits(pages, Scratch(pages.sparkSession), least_bytes).mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value"))
+    lines = with_revisits(pages, Scratch(pages.sparkSession), least_bytes).mapInArrow(tidy(run), "frame binary").select(F.col("frame").cast("string").alias("value"))
     lines.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS + 1).text(path)
 
 
@@ -176,7 +176,7 @@ def read_archives(spark, path: str) -> DataFrame:
             for archive in batch.column(0):
                 yield pa.RecordBatch.from_pylist(list(read_archive(archive.as_py())), schema=schema)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RECORD)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 
 
 def round_trip(pages: DataFrame, path: str, least_bytes: int = 0) -> DataFrame:
