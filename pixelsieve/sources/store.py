@@ -54,13 +54,10 @@ class FingerprintStore:
         # ordinals by rank within hash partitions and offsets of the partitions: no global sort
         parts = max(1, -(-rows.count() // 100_000))
         keyed = rows.withColumn("_p", F.pmod(F.xxhash64("id", "bytes", "label"), F.lit(parts)))
-        counts = {r["_p"]: r["n"] for r in keyed.groupBy("_p").agg(F.count("*").alias("n")).collect()}
-        offsets, total = [], last
-        for p in range(parts):
-            offsets.append(total)
-            total += counts.get(p, 0)
-        rank = F.expr("row_number() OVER (PARTITION BY _p ORDER BY id, label, bytes)")
-        numbered = keyed.withColumn("seq", rank + F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), (F.col("_p") + 1).cast("int")))
+        counts = keyed.groupBy("_p").agg(F.count("*").alias("_k"))  # a row for each 100,000
+        before = counts.select("_p", F.expr("coalesce(sum(_k) OVER (ORDER BY _p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
+        ranked = keyed.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _p ORDER BY id, label, bytes)"))
+        numbered = ranked.join(before, "_p").withColumn("seq", F.col("_rank") + F.col("_before") + F.lit(last))
         numbered = numbered.withColumn("id", F.coalesce("id", F.lower(F.hex(F.col("seq")))))
         first = numbered.groupBy("id").agg(F.min(F.struct("seq", "bytes", "label", "created_at")).alias("r")).select("id", "r.*")
         fresh = first.join(self.records().select("id"), "id", "left_anti")
