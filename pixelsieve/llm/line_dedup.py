@@ -1,9 +1,12 @@
 """Line deduplication by pairwise alignment.
 
-Every line is traced to the first document that holds it, by line hashes; a document is paired
-with the first holders of its lines, the rarest lines included and the commonest too, so the work
-is linear in the lines and no two copies of a group are paired but with the group's first. Each
-pair is aligned with patience diff, and the aligned blocks go from the later document.
+Every line is traced to the first document that holds it, by line hashes, and a document is aligned
+by patience diff with each first holder on the lines that this one introduced: linear in the lines.
+Documents with the same sequence of lines that several documents hold are one class: all but its
+first lose these lines. Where a class's first keeps a line that an earlier document holds, it is
+aligned with the earlier classes too, on all lines that the two share, whatever their number. Of
+those with which it shares only common lines, one stands for each different order of the common
+lines, so these don't meet pairwise. All that is aligned with any earlier document goes, in blocks.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pixelsieve.llm.common import Scratch, bounded_batches, tidy
 
 #: A block of consecutive aligned lines goes when it has so many words.
 BLOCK_WORDS = 8
+#: A line that more classes hold is common. Classes meet in full by a line that isn't, and by the order of their common lines.
+COMMON = 64
 
 
 def line_hash(line: str) -> int:
@@ -75,32 +80,59 @@ def patience(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> li
     return sorted(out)
 
 
-def removed_lines(matches: list[dict], block_words: int) -> list[int]:
-    """Line numbers of a document that go, from its lines that an earlier document has.
+def _runs(places: Iterable[int]) -> Iterator[list[int]]:
+    """Runs of consecutive numbers of increasing ones."""
+    run: list[int] = []
+    for n in places:
+        if run and n != run[-1] + 1:
+            yield run
+            run = []
+        run.append(n)
+    if run:
+        yield run
 
-    ``matches``: first_id, first_key (the earlier document), hash, words, at (places here: order
-    among lines that aren't blank, line number), first_at (places there).
+
+def trace(matches: list[dict], block_words: int) -> dict:
+    """A document's shared lines: sig (hash of their sequence), seq (n, line, hash, words, aligned) and open.
+
+    ``matches``: the document's lines that several documents hold: first_id, first_key (their first
+    holder), hash, words, at (places here: order among lines that aren't blank, line number),
+    first_at (places there; null where the document itself is the first). ``open`` are the hashes
+    of lines not aligned with their first holder that could still go, in a block long enough.
     """
     by = defaultdict(list)
     for m in matches:
-        by[m["first_id"], m["first_key"]].append(m)
-    aligned: dict[int, tuple[int, int]] = {}
+        if m["first_at"] is not None:
+            by[m["first_id"], m["first_key"]].append(m)
+    aligned: set[int] = set()
     for own in by.values():
-        words = {m["hash"]: m["words"] for m in own}
         later = sorted((p["n"], m["hash"]) for m in own for p in m["at"])
         earlier = sorted((p["n"], m["hash"]) for m in own for p in m["first_at"])
-        line, hashed = {p["n"]: p["line"] for m in own for p in m["at"]}, dict(later)
-        for here, _ in patience(later, earlier):
-            aligned[here] = (line[here], words[hashed[here]])
-    out, block = [], []
-    for n in [*sorted(aligned), None]:
-        if block and (n is None or n != block[-1] + 1):
-            if sum(aligned[i][1] for i in block) >= block_words:
-                out += [aligned[i][0] for i in block]
-            block = []
-        if n is not None:
-            block.append(n)
-    return out
+        aligned |= {here for here, _ in patience(later, earlier)}
+    seq = sorted(({"n": p["n"], "line": p["line"], "hash": m["hash"], "words": m["words"], "aligned": p["n"] in aligned} for m in matches for p in m["at"]), key=lambda x: x["n"])
+    held = {p["n"]: m for own in by.values() for m in own for p in m["at"]}
+    still: set[int] = set()
+    for run in _runs(sorted(held)):
+        if sum(held[n]["words"] for n in run) >= block_words:
+            still |= {held[n]["hash"] for n in run if n not in aligned}
+    sig = xxhash.xxh3_64_intdigest(b"".join(x["hash"].to_bytes(8, "little", signed=True) for x in seq)) - (1 << 63)
+    return {"sig": sig, "open": sorted(still), "seq": seq}
+
+
+def aligned_too(seq: list[dict], earlier: list[int]) -> list[int]:
+    """Places n of a document's lines aligned with the hashes of an earlier one and not aligned before."""
+    theirs = set(earlier)
+    both = {x["hash"] for x in seq if x["hash"] in theirs}
+    pairs = patience([(x["n"], x["hash"]) for x in seq if x["hash"] in both], [(i, h) for i, h in enumerate(earlier) if h in both])
+    before = {x["n"] for x in seq if x["aligned"]}
+    return [n for n, _ in pairs if n not in before]
+
+
+def removed_lines(seq: list[dict], whole: bool, more: list[int] | None, block_words: int) -> list[int]:
+    """Line numbers that go: blocks of aligned lines, which are all of ``seq`` where ``whole``."""
+    more = set(more or ())
+    goes = {x["n"]: x for x in seq if whole or x["aligned"] or x["n"] in more}
+    return [goes[n]["line"] for run in _runs(sorted(goes)) if sum(goes[n]["words"] for n in run) >= block_words for n in run]
 
 
 _AT = "array<struct<n:int,line:int>>"
@@ -132,7 +164,55 @@ def _lines(docs: DataFrame) -> DataFrame:
     return made.select("doc_id", "key", F.inline("lines"))
 
 
-def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
+_SEQ = "array<struct<n:int,line:int,hash:long,words:int,aligned:boolean>>"
+_SEQ_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("aligned", pa.bool_())]))
+
+
+def _traced(lines: DataFrame, first: DataFrame, block_words: int) -> DataFrame:
+    """doc_id, key, sig, open, seq of each document with lines that others hold too; see ``trace``."""
+    later = F.expr("doc_id > f.doc_id OR (doc_id = f.doc_id AND key > f.key)")
+    match = F.struct(F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"), "hash", "words", "at", F.when(later, F.col("f.at")).alias("first_at"))
+    # all lines of one document: bounded by that document
+    grouped = lines.join(first, "hash").groupBy("doc_id", "key").agg(F.collect_list(match).alias("matches"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [trace(m.as_py(), block_words) for m in batch.column(2)]
+            kinds = {"sig": pa.int64(), "open": pa.list_(pa.int64()), "seq": _SEQ_ARROW}
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[c] for x in made], k) for c, k in kinds.items())], names=["doc_id", "key", *kinds])
+
+    return grouped.mapInArrow(tidy(run), f"doc_id long, key long, sig long, open array<long>, seq {_SEQ}")
+
+
+def _more(heads: DataFrame, scratch: Scratch, common: int) -> DataFrame:
+    """doc_id, key, more: what the open heads' alignments with all earlier heads add."""
+    own = ["doc_id", "key"]
+    heads = heads.withColumn("hashes", F.col("seq.hash"))
+    held = heads.select(*own, F.explode(F.array_distinct("hashes")).alias("hash"))
+    often = scratch.write(held.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > common).select("hash"), "common")
+    # one for each different order of common lines: the first document with that order
+    placed = heads.select(*own, F.posexplode("hashes").alias("i", "hash")).join(often, "hash")
+    orders = placed.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("i", "hash")))["hash"].alias("hashes"))
+    orders = scratch.write(orders.groupBy("hashes").agg(F.min(F.struct(*own)).alias("e")).select("e", "hashes"), "orders")
+    rare = held.join(often, "hash", "left_anti").select("hash", F.struct(*own).alias("e"), F.lit(False).alias("order"))
+    found = rare.unionByName(orders.select(F.explode(F.array_distinct("hashes")).alias("hash"), "e", F.lit(True).alias("order")))
+    asking = scratch.write(heads.where("size(open) > 0"), "asking")
+    asked = asking.select(F.struct(*own).alias("d"), "open", F.explode(F.array_distinct("hashes")).alias("hash")).select("d", "hash", F.array_contains("open", F.col("hash")).alias("is_open"))
+    # by a common line only where that line itself is open
+    pairs = scratch.write(asked.join(found, "hash").where("e < d AND (is_open OR NOT order)").select("d", "e", "order").distinct(), "pairs")
+    earlier = heads.select(F.struct(*own).alias("e"), F.lit(False).alias("order"), "hashes").unionByName(orders.select("e", F.lit(True).alias("order"), "hashes"))
+    both = pairs.join(earlier, ["e", "order"]).join(asking.select(F.struct(*own).alias("d"), "seq"), "d").select("d.doc_id", "d.key", "seq", "hashes")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = [aligned_too(s.as_py(), h.as_py()) for s, h in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.list_(pa.int32()))], names=["doc_id", "key", "more"])
+
+    made = both.mapInArrow(tidy(run), "doc_id long, key long, more array<int>")
+    return made.select(*own, F.explode("more").alias("n")).distinct().groupBy(*own).agg(F.collect_list("n").alias("more"))
+
+
+def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, common: int = COMMON) -> DataFrame:
     """doc_id, key (hash of the text), removed: the line numbers that go from a document.
 
     Lines and their first holders are written tables: the texts are split into lines once, and the
@@ -143,21 +223,24 @@ def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS)
     lines = scratch.write(_lines(texts), "lines")
     first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "at")).alias("f"), F.max(F.struct("doc_id", "key")).alias("last"))
     first = scratch.write(first.where("f.doc_id <> last.doc_id OR f.key <> last.key").select("hash", "f"), "first")
-    later = lines.join(first, "hash").where("doc_id > f.doc_id OR (doc_id = f.doc_id AND key > f.key)")
-    match = F.struct(F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"), "hash", "words", "at", F.col("f.at").alias("first_at"))
-    # all lines of one document: bounded by that document
-    grouped = later.groupBy("doc_id", "key").agg(F.collect_list(match).alias("matches"))
+    traced = scratch.write(_traced(lines, first, block_words), "traced")
+    # of documents with the same shared lines in the same order, the first is the head
+    head = traced.groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("h")).select("h.doc_id", "h.key")
+    heads = scratch.write(traced.join(head, ["doc_id", "key"], "left_semi"), "heads")
+    marks = heads.select("doc_id", "key", F.lit(True).alias("head")).join(_more(heads, scratch, common), ["doc_id", "key"], "left")
+    whole = F.col("head").isNull().alias("whole")
+    ended = traced.join(marks, ["doc_id", "key"], "left").select("doc_id", "key", "seq", whole, "more")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed = [removed_lines(m.as_py(), block_words) for m in batch.column(2)]
+            removed = [removed_lines(*(x.as_py() for x in row), block_words) for row in zip(*batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "key", "removed"])
 
-    return grouped.mapInArrow(tidy(run), "doc_id long, key long, removed array<int>").where("size(removed) > 0")
+    return ended.mapInArrow(tidy(run), "doc_id long, key long, removed array<int>").where("size(removed) > 0")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Deletes from each document the blocks that an earlier one holds; adds n_lines, n_removed.
+def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, common: int = COMMON) -> DataFrame:
+    """Deletes from each document the blocks that earlier ones hold; adds n_lines, n_removed.
 
     Earlier is the smaller doc_id, then the smaller hash of the text. Lines are compared without
     the white space around them; blank lines never go and don't end a block; a block goes when it
@@ -166,7 +249,7 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORD
     one document and keep their text; an empty table gives no rows; all other columns stay.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs, scratch, block_words).select(F.col("doc_id").alias("id"), "key", "removed")
+    gone = removals(docs, scratch, block_words, common).select(F.col("doc_id").alias("id"), "key", "removed")
     # the row as one column: no other name of it meets those used here
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
     joined = rows.join(gone, ["id", "key"], "left")

@@ -140,6 +140,32 @@ def test_line_dedup_by_brute_force(spark):
     assert sum(n for _, n in got.values()) > 50
 
 
+@pytest.mark.parametrize("common", [line_dedup.COMMON, 3, 0])
+def test_line_dedup_aligns_all_pairs(spark, common):
+    """All that a brute force removes goes that aligns each document with every earlier one on all shared lines."""
+    r = random.Random(19)
+    lines = [f"{i} " + " ".join(["word"] * r.choice([1, 4, 8])) for i in range(14)]
+    texts = [[lines[1], lines[0]], [lines[0], lines[1], "own a"], [lines[0], lines[1], "own a"], [lines[0], lines[1], "own b"]]
+    for _ in range(120):
+        texts.append(list(r.choice(texts)) if r.random() < 0.2 else [r.choice(lines) if r.random() < 0.8 else f"own {r.random()}" for _ in range(r.randint(1, 8))])
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {x["doc_id"]: set(x["removed"]) for x in line_dedup.removals(df, Scratch(spark), common=common).collect()}
+    before, missed = set(), 0
+    for i, own in enumerate(texts):
+        aligned, held = set(), {n for n, x in enumerate(own) if x in before}
+        for other in texts[:i]:
+            both = set(own) & set(other)
+            aligned |= {n for n, _ in line_dedup.patience([p for p in enumerate(own) if p[1] in both], [p for p in enumerate(other) if p[1] in both])}
+        want = {n for run in line_dedup._runs(sorted(aligned)) if sum(len(own[n].split()) for n in run) >= line_dedup.BLOCK_WORDS for n in run}
+        most = {n for run in line_dedup._runs(sorted(held)) if sum(len(own[n].split()) for n in run) >= line_dedup.BLOCK_WORDS for n in run}
+        assert want <= got.get(i, set()) <= most, i
+        if own in texts[:i] and sum(len(x.split()) for x in own) >= line_dedup.BLOCK_WORDS:
+            assert got[i] == set(range(len(own)))  # an exact copy keeps nothing
+            missed += 1
+        before |= set(own)
+    assert missed > 10
+
+
 # --- 9 ---
 
 
