@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from pixelsieve.llm.common import Scratch, bounded_batches, tidy, utf8_chunks
 
 UNDETERMINED = "und"
-#: Buckets of trigrams; training rows for each language and their longest text in characters.
+#: Buckets of trigrams; training rows for each language and how many characters of each are read.
 BUCKETS, TRAIN_ROWS, TRAIN_CHARS = 1 << 15, 300, 20_000
-#: Languages with fewer training rows are not learned; trigrams overlap, so their evidence is divided.
-LEAST_ROWS, OVERLAP = 5, 3.0
+#: Shorter texts are learned from only where a language has no more of others than are looked at; trigrams overlap, so their evidence is divided.
+SHORT_CHARS, OVERLAP = 40, 3.0
 #: Prior weight of "und", pseudo-counts of each level of hosts and of declarations.
 UND_PRIOR, HOST_WEIGHT, DECLARED_WEIGHT = 0.01, 20.0, 2.0
 
@@ -76,30 +76,56 @@ def trigrams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def train(rows: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """Learns from at most TRAIN_ROWS labelled rows a language, each of at most TRAIN_CHARS characters.
+    """Learns every label from at most TRAIN_ROWS rows, of each at most the first TRAIN_CHARS characters.
 
-    The rows are those with the smallest hashes among about twice as many that a hash threshold
-    lets through, so that neither a task nor the driver gets more than a bounded number.
+    A label is learned however rare it is; blank ones and "und" name no language. The rows are those
+    with the smallest hashes, texts of SHORT_CHARS or more first; of frequent labels among about
+    twice as many that a hash threshold lets through, so that no task gets more than a bounded
+    number of rows of a label. The driver gets counts of trigrams: memory follows the labels.
     """
-    usable = rows.where(F.col(label).isNotNull() & F.length(text).between(40, TRAIN_CHARS)).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
-    counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(200).collect()}
-    shares = {label: min(1.0, 2 * TRAIN_ROWS / n) for label, n in counts.items() if n >= LEAST_ROWS}
-    samples: dict[str, list[str]] = {}
-    if shares:
-        top = F.create_map(*[F.lit(x) for label, s in shares.items() for x in (label, int(s * (1 << 31)))])
-        some = usable.where(F.pmod("h", F.lit(1 << 31)) <= F.coalesce(top[F.col("label")], F.lit(-1)))
-        ranked = some.withColumn("r", F.expr("row_number() OVER (PARTITION BY label ORDER BY h, text)")).where(F.col("r") <= TRAIN_ROWS)
-        for r in ranked.select("label", "text").collect():
-            samples.setdefault(r["label"], []).append(r["text"])
-    return fit(samples)
+    bounded_batches(rows.sparkSession)
+    named = (F.trim(F.col(label)) != "") & (F.col(label) != UNDETERMINED)
+    usable = rows.where(named & (F.trim(F.col(text)) != "")).select(F.col(label).alias("label"), F.substring(F.col(text), 1, TRAIN_CHARS).alias("text"), (F.length(text) < SHORT_CHARS).alias("short"), F.xxhash64(key, text).alias("h"))
+    often = usable.where("NOT short").groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > 2 * TRAIN_ROWS).collect()
+    some = usable
+    if often:
+        top = F.create_map(*[F.lit(x) for r in often for x in (r["label"], int(2 * TRAIN_ROWS / r["n"] * (1 << 31)))])
+        most = F.when(F.col("short"), F.when(top[F.col("label")].isNotNull(), F.lit(-1))).otherwise(top[F.col("label")])
+        some = usable.where(F.pmod("h", F.lit(1 << 31)) <= F.coalesce(most, F.lit(1 << 31)))
+    ranked = some.withColumn("r", F.expr("row_number() OVER (PARTITION BY label ORDER BY short, h, text)")).where(F.col("r") <= TRAIN_ROWS)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_trigram_counts([t]) for t in batch.column(1).to_pylist()]
+            found = [np.flatnonzero(c) for c in made]
+            n = [len(f) for f in found]
+            flat = pa.array(np.concatenate([c[f] for c, f in zip(made, found, strict=True)]) if n else [], pa.int64())
+            labels = batch.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([labels, pa.array(np.concatenate(found) if n else [], pa.int64()), flat], names=["label", "bucket", "n"])
+
+    counted = ranked.select("label", "text").mapInArrow(tidy(run), "label string, bucket long, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    packed = counted.groupBy("label").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("ns"))
+    counts = {}
+    for r in packed.toLocalIterator():
+        counts[r["label"]] = np.zeros(BUCKETS)
+        counts[r["label"]][r["buckets"]] = r["ns"]
+    return _model(counts)
+
+
+def _trigram_counts(texts: list[str]) -> np.ndarray:
+    out = np.zeros(BUCKETS, np.int64)
+    for _, raw, offsets in utf8_chunks(pa.array(texts, pa.string())):
+        out += np.bincount(trigrams(raw, offsets)[0], minlength=BUCKETS)
+    return out
 
 
 def fit(samples: dict[str, list[str]]) -> Model:
-    languages = tuple(sorted(samples))
-    counts = np.zeros((BUCKETS, len(languages)))
-    for i, language in enumerate(languages):
-        for _, raw, offsets in utf8_chunks(pa.array(samples[language])):
-            counts[:, i] += np.bincount(trigrams(raw, offsets)[0], minlength=BUCKETS)
+    return _model({language: _trigram_counts(texts) for language, texts in samples.items()})
+
+
+def _model(by_language: dict[str, np.ndarray]) -> Model:
+    languages = tuple(sorted(by_language))
+    counts = np.column_stack([by_language[x] for x in languages]) if languages else np.zeros((BUCKETS, 0))
     smooth = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * BUCKETS)) if languages else counts
     return Model(languages, np.c_[smooth, np.full(BUCKETS, -np.log(BUCKETS))])
 

@@ -325,6 +325,24 @@ def test_language_accuracy_is_held_out(spark):
     assert fused.where("language = lang").count() >= plain.where("language = lang").count()
 
 
+def test_every_declared_language_is_learned(spark):
+    """Rare ones, those beyond any number of others, and those held only in very long or short texts."""
+    r = random.Random(21)
+    rows = []
+    for i in range(210):
+        own = [chr(0x4E00 + 40 * i + k) for k in range(40)]
+        rows += [(f"x{i:03d}", " ".join("".join(r.choice(own) for _ in range(3)) for _ in range(40))) for _ in range(6 if i < 205 else 1)]
+    words = {lang: lambda n, lang=lang: " ".join(prose(r, n, lang)) for lang in SYLLABLES}
+    rows += [("de", words["de"](3000)), ("fr", "tion que eau ou"), ("en", words["en"](30)), ("und", words["en"](30)), (" ", words["en"](30))]
+    df = spark.createDataFrame([(i, t, x, "h") for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    assert len(rows[-5][1]) > langid.TRAIN_CHARS and len(rows[-4][1]) < 40
+    model = langid.train(df)
+    assert set(model.languages) == {x for x, _ in rows} - {"und", " "}
+    asked = spark.createDataFrame([(1, words["de"](20), "h"), (2, rows[6 * 205][1][:60], "h"), (3, "tion que ou eau", "h")], "doc_id long, text string, source string")
+    got = {x["doc_id"]: x["language"] for x in langid.identify(asked, Scratch(spark), model, declared=None).collect()}
+    assert got == {1: "de", 2: "x205", 3: "fr"}
+
+
 def test_other_evidence_decides_what_text_does_not(spark):
     model = langid.fit({"en": [" ".join(prose(random.Random(1), 60))], "de": [" ".join(prose(random.Random(2), 60, "de"))]})
     r = random.Random(3)
