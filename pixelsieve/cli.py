@@ -108,11 +108,13 @@ def cmd_classify(args) -> int:
 
 def cmd_evaluate(args) -> int:
     samples = datasets.load_dataset(session(), args.dataset).persist()
-    paths = [r["path"] for r in samples.select("path").collect()] if samples.count() <= 10_000 else [f"{args.dataset.rstrip('/')}/*"]
-    if not paths:
+    if samples.isEmpty():
         return _fail("no samples")
-    scans = _scans(args, images.read_images(session(), paths)).withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
-    samples = samples.withColumn("path", F.regexp_replace("path", r"^file:/+", "/"))
+    paths = datasets.sample_files(session(), samples)
+    if not paths:
+        return _fail("no sample's file exists")
+    scans = _scans(args, images.read_images(session(), paths)).withColumn("path", datasets.local("path"))
+    samples = samples.withColumn("path", datasets.local("path"))
     for name, value in scan.evaluate_dataset(samples, scans).first().asDict().items():
         print(f"{name}: {value:.4f}" if isinstance(value, float) else f"{name}: {value}")
     return 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,21 @@ def load_dataset(spark: SparkSession, root: str) -> DataFrame:
         return spark.createDataFrame([], "path string, expected string")
     files = spark.read.format("binaryFile").load([f"{f}/*" for f in folders]).select("path")
     return files.select("path", parse_decision(F.element_at(F.split("path", "/"), -2)).alias("expected")).orderBy("path")
+
+
+def local(path: str | Column) -> Column:
+    """A path without the scheme of local files."""
+    return F.regexp_replace(path, r"^file:/+", "/")
+
+
+def sample_files(spark: SparkSession, samples: DataFrame) -> list[str]:
+    """Paths to read of the samples' files that exist, wherever they are; the folders they lie in are listed."""
+    plain = lambda path: re.sub(r"([*?\[\]{}\\])", r"\\\1", path)
+    folders = [r["folder"] for r in samples.select(F.regexp_extract("path", r"^(.*/)[^/]*$", 1).alias("folder")).distinct().collect()]
+    folders = [plain(f) for f in folders if f and _exists(spark, f)]
+    if not folders:
+        return []
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).select("path")
+    asked = samples.select(local("path").alias("p")).distinct()
+    found = files.withColumn("p", local("path")).join(asked, "p", "left_semi").select("path").distinct()
+    return [plain(r["path"]) for r in found.collect()]

@@ -230,3 +230,18 @@ def test_cli(spark, pictures, model, tmp_path, capsys):
     assert cli.main(["classify", image, "--config", str(model / "classifier.conf")]) == 0
     assert cli.main(["model", "verify", "--config", str(model / "classifier.conf")]) == cli.main(["model", "list"]) == 0
     assert cli.main(["doctor"]) == cli.main(["version"]) == cli.main(["config"]) == cli.main(["benchmark", "200"]) == 0
+
+
+def test_cli_evaluates_samples_anywhere(spark, pictures, tmp_path, capsys):
+    """Also of long manifests, files outside the root and in deep folders are read; missing ones are skipped."""
+    image, other = pictures / "block/gradient.png", tmp_path / "other/x.png"
+    for missing in (3, 10_050):
+        root = tmp_path / str(missing)
+        for path in (root / "a/b/c/deep.png", root / "a/up.png", other):
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(image.read_bytes())
+        lines = ["a/b/c/deep.png,allow", "a/up.png,allow", f"{other},allow", f"{image},allow"]
+        (root / "manifest.csv").write_text("\n".join([*lines, *(f"m{i}.png,allow" for i in range(missing))]))
+        assert cli.main(["evaluate", str(root)]) == 0
+        out = capsys.readouterr().out
+        assert "evaluated: 4\n" in out and f"skipped: {missing}\n" in out, out
