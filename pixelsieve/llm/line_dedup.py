@@ -1,12 +1,14 @@
 """Line deduplication by pairwise alignment.
 
-Every line is traced to the first document that holds it, by line hashes, and a document is aligned
-by patience diff with each first holder on the lines that this one introduced: linear in the lines.
-Documents with the same sequence of lines that several documents hold are one class: all but its
-first lose these lines. Where a class's first keeps a line that an earlier document holds, it is
-aligned with the earlier classes too, on all lines that the two share, whatever their number. Of
-those with which it shares only common lines, one stands for each different order of the common
-lines, so these don't meet pairwise. All that is aligned with any earlier document goes, in blocks.
+The unit of comparison is the passage: a shortest run of consecutive lines with ``block_words`` words
+(a line with so many words is one by itself). Every passage that several documents hold makes a
+pair of each later holder and the first one, so a passage held by very many documents makes no more
+pairs a document than a rare one, and pairs grow with the text. A pair is aligned by patience
+diff on the passages that are unique in both; passages that stand in another order or are
+repeated are aligned as blocks of their own. As a passage stands for consecutive lines in both
+documents, aligned ones are common blocks, and neighbouring ones merge. All blocks go from the later
+document. What goes is therefore just what aligning a document with every earlier one would
+find: each block of consecutive lines, with words enough, that some earlier document holds too.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,16 +27,48 @@ from pixelsieve.llm.common import Scratch, bounded_batches, tidy
 
 #: A block of consecutive aligned lines goes when it has so many words.
 BLOCK_WORDS = 8
-#: A line that more classes hold is common. Classes meet in full by a line that isn't, and by the order of their common lines.
-COMMON = 64
+#: Up to so many ids of documents that lose lines are broadcast, so that only their texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def line_hash(line: str) -> int:
     """Signed 64-bit hash of a line without the white space around it."""
-    value = xxhash.xxh3_64_intdigest(line.strip().encode("utf-8", "surrogatepass"))
+    return _signed(line.strip().encode("utf-8", "surrogatepass"))
+
+
+def _signed(data: bytes) -> int:
+    value = xxhash.xxh3_64_intdigest(data)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
+def passages(text: str, block_words: int = BLOCK_WORDS) -> list[tuple[int, int, list[int]]]:
+    """(hash, place, line numbers) of a text's passages, in order; places count lines that aren't blank.
+
+    For each line the shortest run that begins with it and the shortest that ends with it: all
+    runs of so many words are unions of these.
+    """
+    numbers, hashes, ends = [], [], [0]
+    for number, line in enumerate(text.split("\n")):
+        if words := len(line.split()):
+            numbers.append(number)
+            hashes.append(line_hash(line))
+            ends.append(ends[-1] + words)
+    spans, last = [], None
+    raw = np.array(hashes, np.int64).tobytes()
+    begin = 0
+    for end in range(1, len(numbers) + 1):  # the shortest run up to each end, and those from begins it passes by
+        if ends[end] - ends[begin] < block_words:
+            continue
+        while ends[end] - ends[begin + 1] >= block_words:
+            if last is None or begin > last:
+                spans.append((begin, end))  # the first end that is far enough
+                last = begin
+            begin += 1
+        spans.append((begin, end))
+        last = begin
+    return [(hashes[a] if b == a + 1 else _signed(raw[8 * a : 8 * b]), a, numbers[a:b]) for a, b in spans]
+
+
 def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Of pairs with increasing first members, a longest run whose second members increase too."""
     tails, rows, back = [], [], [-1] * len(pairs)
@@ -53,10 +88,10 @@ def longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def patience(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Aligned (position in later, position in earlier) of two lists of (position, hash).
+    """Aligned (place in later, place in earlier) of two lists of (place, hash).
 
-    Lines that stand once in both lists of a range anchor it; the ranges between anchors are
-    aligned in turn. Where nothing is unique, equal lines at the range's ends are matched.
+    Hashes that stand once in both lists of a range anchor it; the ranges between anchors are
+    aligned in turn. Where nothing is unique, equal ones at the range's ends are matched.
     """
     out, todo = [], [(0, len(later), 0, len(earlier))]
     while todo:
@@ -80,179 +115,111 @@ def patience(later: list[tuple[int, int]], earlier: list[tuple[int, int]]) -> li
     return sorted(out)
 
 
-def _runs(places: Iterable[int]) -> Iterator[list[int]]:
-    """Runs of consecutive numbers of increasing ones."""
-    run: list[int] = []
-    for n in places:
-        if run and n != run[-1] + 1:
-            yield run
-            run = []
-        run.append(n)
-    if run:
-        yield run
+def aligned_blocks(matches: list[dict]) -> list[dict]:
+    """The blocks that a document shares with its partners, by place.
 
-
-def trace(matches: list[dict], block_words: int) -> dict:
-    """A document's shared lines: sig (hash of their sequence), seq (n, line, hash, words, aligned) and open.
-
-    ``matches``: the document's lines that several documents hold: first_id, first_key (their first
-    holder), hash, words, at (places here: order among lines that aren't blank, line number),
-    first_at (places there; null where the document itself is the first). ``open`` are the hashes
-    of lines not aligned with their first holder that could still go, in a block long enough.
+    ``matches``: the document's passages with an earlier first holder: first (its id), there (place
+    in it; -1 - place where it repeats there), hash, at (places and line numbers here). A block:
+    first, place, there, lines, moved (whether it stands out of the order of both documents).
     """
     by = defaultdict(list)
     for m in matches:
-        if m["first_at"] is not None:
-            by[m["first_id"], m["first_key"]].append(m)
-    aligned: set[int] = set()
-    for own in by.values():
-        later = sorted((p["n"], m["hash"]) for m in own for p in m["at"])
-        earlier = sorted((p["n"], m["hash"]) for m in own for p in m["first_at"])
-        aligned |= {here for here, _ in patience(later, earlier)}
-    seq = sorted(({"n": p["n"], "line": p["line"], "hash": m["hash"], "words": m["words"], "aligned": p["n"] in aligned} for m in matches for p in m["at"]), key=lambda x: x["n"])
-    held = {p["n"]: m for own in by.values() for m in own for p in m["at"]}
-    still: set[int] = set()
-    for run in _runs(sorted(held)):
-        if sum(held[n]["words"] for n in run) >= block_words:
-            still |= {held[n]["hash"] for n in run if n not in aligned}
-    sig = xxhash.xxh3_64_intdigest(b"".join(x["hash"].to_bytes(8, "little", signed=True) for x in seq)) - (1 << 63)
-    return {"sig": sig, "open": sorted(still), "seq": seq}
-
-
-def aligned_too(seq: list[dict], earlier: list[int]) -> list[int]:
-    """Places n of a document's lines aligned with the hashes of an earlier one and not aligned before."""
-    theirs = set(earlier)
-    both = {x["hash"] for x in seq if x["hash"] in theirs}
-    pairs = patience([(x["n"], x["hash"]) for x in seq if x["hash"] in both], [(i, h) for i, h in enumerate(earlier) if h in both])
-    before = {x["n"] for x in seq if x["aligned"]}
-    return [n for n, _ in pairs if n not in before]
-
-
-def removed_lines(seq: list[dict], whole: bool, more: list[int] | None, block_words: int) -> list[int]:
-    """Line numbers that go: blocks of aligned lines, which are all of ``seq`` where ``whole``."""
-    more = set(more or ())
-    goes = {x["n"]: x for x in seq if whole or x["aligned"] or x["n"] in more}
-    return [goes[n]["line"] for run in _runs(sorted(goes)) if sum(goes[n]["words"] for n in run) >= block_words for n in run]
-
-
-_AT = "array<struct<n:int,line:int>>"
-_AT_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("line", pa.int32())]))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, key, hash, words, at: one row for each different line that isn't blank."""
-    schema = pa.struct([("hash", pa.int64()), ("words", pa.int32()), ("at", _AT_ARROW)])
+        by[m["first"]].append(m)
+    blocks = []
+    for first, own in by.items():
+        once = lambda m: m["there"] >= 0 and len(m["at"]) == 1
+        later = sorted((m["at"][0]["n"], m["hash"]) for m in own if once(m))
+        earlier = sorted((m["there"], m["hash"]) for m in own if once(m))
+        in_order = {here for here, _ in patience(later, earlier)}
+        places = []
+        for m in own:
+            there = m["there"] if m["there"] >= 0 else -1 - m["there"]
+            places += [(p["n"], there, not (once(m) and p["n"] in in_order), p["lines"]) for p in m["at"]]
+        block: dict | None = None
+        for n, there, moved, lines in sorted(places, key=lambda p: (p[1] - p[0], p[2], p[0], p[3])):
+            if block and moved == block["moved"] and there - n == block["there"] - block["place"] and n <= block["place"] + len(block["lines"]):
+                block["lines"] += [x for x in lines if x > block["lines"][-1]]
+            else:
+                block = {"first": first, "place": n, "there": there, "moved": moved, "lines": list(lines)}
+                blocks.append(block)
+    return sorted(blocks, key=lambda b: (b["place"], b["first"], b["there"]))
+
+
+_AT_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("lines", pa.list_(pa.int32()))]))
+_PASSAGES = "array<struct<hash:long,at:array<struct<n:int,lines:array<int>>>>>"
+
+
+def _passages(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc_id, key, hash, at: one row for each different passage of a document (doc_id, key, text)."""
+    schema = pa.list_(pa.struct([("hash", pa.int64()), ("at", _AT_ARROW)]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(2):
-                found: dict[int, dict] = {}
-                n = 0
-                for number, line in enumerate((text.as_py() or "").split("\n")):
-                    if not line or line.isspace():
-                        continue
-                    h = line_hash(line)
-                    if h not in found:
-                        found[h] = {"hash": h, "words": len(line.split()), "at": []}
-                    found[h]["at"].append({"n": n, "line": number})
-                    n += 1
-                rows.append(list(found.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(schema))], names=["doc_id", "key", "lines"])
-
-    made = docs.mapInArrow(tidy(run), f"doc_id long, key long, lines array<struct<hash:long,words:int,at:{_AT}>>")
-    return made.select("doc_id", "key", F.inline("lines"))
-
-
-_SEQ = "array<struct<n:int,line:int,hash:long,words:int,aligned:boolean>>"
-_SEQ_ARROW = pa.list_(pa.struct([("n", pa.int32()), ("line", pa.int32()), ("hash", pa.int64()), ("words", pa.int32()), ("aligned", pa.bool_())]))
-
-
-def _traced(lines: DataFrame, first: DataFrame, block_words: int) -> DataFrame:
-    """doc_id, key, sig, open, seq of each document with lines that others hold too; see ``trace``."""
-    later = F.expr("doc_id > f.doc_id OR (doc_id = f.doc_id AND key > f.key)")
-    match = F.struct(F.col("f.doc_id").alias("first_id"), F.col("f.key").alias("first_key"), "hash", "words", "at", F.when(later, F.col("f.at")).alias("first_at"))
-    # all lines of one document: bounded by that document
-    grouped = lines.join(first, "hash").groupBy("doc_id", "key").agg(F.collect_list(match).alias("matches"))
+                found: dict[int, list] = {}
+                for h, n, lines in passages(text.as_py() or "", block_words):
+                    found.setdefault(h, []).append({"n": n, "lines": lines})
+                rows.append([{"hash": h, "at": at} for h, at in found.items()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, schema)], names=["doc_id", "key", "passages"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [trace(m.as_py(), block_words) for m in batch.column(2)]
-            kinds = {"sig": pa.int64(), "open": pa.list_(pa.int64()), "seq": _SEQ_ARROW}
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([x[c] for x in made], k) for c, k in kinds.items())], names=["doc_id", "key", *kinds])
-
-    return grouped.mapInArrow(tidy(run), f"doc_id long, key long, sig long, open array<long>, seq {_SEQ}")
-
-
-def _more(heads: DataFrame, scratch: Scratch, common: int) -> DataFrame:
-    """doc_id, key, more: what the open heads' alignments with all earlier heads add."""
-    own = ["doc_id", "key"]
-    heads = heads.withColumn("hashes", F.col("seq.hash"))
-    held = heads.select(*own, F.explode(F.array_distinct("hashes")).alias("hash"))
-    often = scratch.write(held.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > common).select("hash"), "common")
-    # one for each different order of common lines: the first document with that order
-    placed = heads.select(*own, F.posexplode("hashes").alias("i", "hash")).join(often, "hash")
-    orders = placed.groupBy(*own).agg(F.sort_array(F.collect_list(F.struct("i", "hash")))["hash"].alias("hashes"))
-    orders = scratch.write(orders.groupBy("hashes").agg(F.min(F.struct(*own)).alias("e")).select("e", "hashes"), "orders")
-    rare = held.join(often, "hash", "left_anti").select("hash", F.struct(*own).alias("e"), F.lit(False).alias("order"))
-    found = rare.unionByName(orders.select(F.explode(F.array_distinct("hashes")).alias("hash"), "e", F.lit(True).alias("order")))
-    asking = scratch.write(heads.where("size(open) > 0"), "asking")
-    asked = asking.select(F.struct(*own).alias("d"), "open", F.explode(F.array_distinct("hashes")).alias("hash")).select("d", "hash", F.array_contains("open", F.col("hash")).alias("is_open"))
-    # by a common line only where that line itself is open
-    pairs = scratch.write(asked.join(found, "hash").where("e < d AND (is_open OR NOT order)").select("d", "e", "order").distinct(), "pairs")
-    earlier = heads.select(F.struct(*own).alias("e"), F.lit(False).alias("order"), "hashes").unionByName(orders.select("e", F.lit(True).alias("order"), "hashes"))
-    both = pairs.join(earlier, ["e", "order"]).join(asking.select(F.struct(*own).alias("d"), "seq"), "d").select("d.doc_id", "d.key", "seq", "hashes")
+    made = docs.mapInArrow(tidy(run), f"doc_id long, key long, passages {_PASSAGES}")
+    return made.select("doc_id", "key", F.inline("passages"))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            more = [aligned_too(s.as_py(), h.as_py()) for s, h in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(more, pa.list_(pa.int32()))], names=["doc_id", "key", "more"])
 
-    made = both.mapInArrow(tidy(run), "doc_id long, key long, more array<int>")
-    return made.select(*own, F.explode("more").alias("n")).distinct().groupBy(*own).agg(F.collect_list("n").alias("more"))
+_BLOCK = pa.struct([("first", pa.int64()), ("place", pa.int32()), ("there", pa.int32()), ("lines", pa.list_(pa.int32())), ("moved", pa.bool_())])
+_BLOCKS = "array<struct<first:long,place:int,there:int,lines:array<int>,moved:boolean>>"
 
 
-def removals(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, common: int = COMMON) -> DataFrame:
-    """doc_id, key (hash of the text), removed: the line numbers that go from a document.
+def shared_blocks(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, key (hash of the text), blocks, removed: of each document that an earlier one shares blocks with.
 
-    Lines and their first holders are written tables: the texts are split into lines once, and the
-    join of the two is one whose large partitions the engine can split where a line is very common.
+    ``removed`` are the numbers of the lines in its blocks. Passages and their first holders are
+    written tables: the texts are split into lines once, and the join of the two is one whose large
+    partitions the engine can split where a passage is very common. With a match travels one place
+    of the first holder, however often the passage stands there.
     """
     bounded_batches(docs.sparkSession)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    lines = scratch.write(_lines(texts), "lines")
-    first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "key", "at")).alias("f"), F.max(F.struct("doc_id", "key")).alias("last"))
-    first = scratch.write(first.where("f.doc_id <> last.doc_id OR f.key <> last.key").select("hash", "f"), "first")
-    traced = scratch.write(_traced(lines, first, block_words), "traced")
-    # of documents with the same shared lines in the same order, the first is the head
-    head = traced.groupBy("sig").agg(F.min(F.struct("doc_id", "key")).alias("h")).select("h.doc_id", "h.key")
-    heads = scratch.write(traced.join(head, ["doc_id", "key"], "left_semi"), "heads")
-    marks = heads.select("doc_id", "key", F.lit(True).alias("head")).join(_more(heads, scratch, common), ["doc_id", "key"], "left")
-    whole = F.col("head").isNull().alias("whole")
-    ended = traced.join(marks, ["doc_id", "key"], "left").select("doc_id", "key", "seq", whole, "more")
+    own = scratch.write(_passages(texts, block_words), "passages")
+    place = F.when(F.size("at") > 1, -1 - F.col("at")[0]["n"]).otherwise(F.col("at")[0]["n"])
+    held = own.select("hash", "doc_id", place.alias("place")).groupBy("hash")
+    first = held.agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min_by("place", "doc_id").alias("there"))
+    first = scratch.write(first.where("first < last").select("hash", "first", "there"), "first")
+    match = F.struct("first", "there", "hash", "at")
+    # all passages of one document: bounded by that document, as rows that repeat it add nothing to a set
+    matches = own.join(first, "hash").where("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set(match).alias("matches"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            removed = [removed_lines(*(x.as_py() for x in row), block_words) for row in zip(*batch.columns[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "key", "removed"])
+            blocks = [aligned_blocks(m.as_py()) for m in batch.column(2)]
+            removed = [sorted({x for b in found for x in b["lines"]}) for found in blocks]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(_BLOCK)), pa.array(removed, pa.list_(pa.int32()))], names=["doc_id", "key", "blocks", "removed"])
 
-    return ended.mapInArrow(tidy(run), "doc_id long, key long, removed array<int>").where("size(removed) > 0")
+    return matches.mapInArrow(tidy(run), f"doc_id long, key long, blocks {_BLOCKS}, removed array<int>")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, common: int = COMMON) -> DataFrame:
+def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Deletes from each document the blocks that earlier ones hold; adds n_lines, n_removed.
 
-    Earlier is the smaller doc_id, then the smaller hash of the text. Lines are compared without
-    the white space around them; blank lines never go and don't end a block; a block goes when it
-    has ``block_words`` words. An exact copy keeps only its blank lines. Rows with a null
-    doc_id or text stay as they are (a null text has no lines); rows equal in doc_id and text are
-    one document and keep their text; an empty table gives no rows; all other columns stay.
+    Earlier is the smaller doc_id. Lines are compared without the white space around them; blank lines
+    never go and don't end a block; a block goes when it has ``block_words`` words, so an exact copy of
+    as many words keeps only its blank lines. What a document itself repeats stays. Rows with a null
+    doc_id or text stay as they are (a null text has no lines); rows of one doc_id, whether of the same
+    text or of others, are not compared with each other; an empty table gives no rows; all other
+    columns stay, but for columns named n_lines or n_removed, which are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    gone = removals(docs, scratch, block_words, common).select(F.col("doc_id").alias("id"), "key", "removed")
+    gone = scratch.write(shared_blocks(docs, scratch, block_words).select(F.col("doc_id").alias("id"), "key", "removed"), "removed")
     # the row as one column: no other name of it meets those used here
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
-    joined = rows.join(gone, ["id", "key"], "left")
+    ids = gone.select("id").distinct()
+    if ids.count() <= BROADCAST_IDS:  # only the texts of documents that lose lines are shuffled
+        ids = F.broadcast(ids)
+        rest = rows.join(ids, "id", "left_anti").select("row", F.lit(None).cast("array<int>").alias("removed"))
+        joined = rows.join(ids, "id", "left_semi").join(gone, ["id", "key"], "left").select("row", "removed").unionByName(rest)
+    else:
+        joined = rows.join(gone, ["id", "key"], "left").select("row", "removed")
     text, removed = F.col("row.text"), F.col("removed")
     joined = joined.withColumn("lines", F.when(removed.isNotNull(), F.split(text, "\n", -1)))
     # the numbers of the lines that stay, without a search for each line

@@ -104,66 +104,66 @@ def test_patience():
     assert line_dedup.patience([(0, 99), *[(i + 1, i) for i in range(10)]], unique) == [(i + 1, i) for i in range(10)]
 
 
+def naive_removals(texts):
+    """Line numbers by document: every run of lines, 8 words or more, that some earlier document holds as a run."""
+    own = [[(n, x.strip()) for n, x in enumerate(t.split("\n")) if x.strip()] for t in texts]
+    out = []
+    for i, lines in enumerate(own):
+        gone = set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = [x for _, x in lines[a:b]]
+                if sum(len(x.split()) for x in run) >= line_dedup.BLOCK_WORDS and any([x for _, x in other[c : c + b - a]] == run for other in own[:i] for c in range(len(other))):
+                    gone |= {n for n, _ in lines[a:b]}
+        out.append(gone)
+    return out
+
+
 def test_line_dedup_by_brute_force(spark):
-    """Removed are runs of lines, 8 words or more, that earlier documents introduced in the same order."""
+    """200 corpora, which share no line, against a search of each document's runs in all earlier ones."""
     r = random.Random(9)
-    blocks = [prose(r, r.randint(2, 5)) for _ in range(12)]
-    texts = {}
-    for i in range(80):
-        own = prose(r, r.randint(1, 4))
-        for _ in range(r.randint(0, 2)):
-            own += r.choice(blocks) + prose(r, 1)
-        texts[i] = "\n".join(own)
-    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
-    got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(df, Scratch(spark)).collect()}
-    first = {}
-    for i, t in texts.items():
-        lines = t.split("\n")
-        by = defaultdict(list)
-        for n, line in enumerate(lines):
-            if line in first and first[line] != i:
-                by[first[line]].append(n)
-        aligned = set()
-        for owner, places in by.items():
-            theirs = [(m, x) for m, x in enumerate(texts[owner].split("\n")) if first.get(x) == owner and x in {lines[n] for n in places}]
-            aligned |= {n for n, _ in line_dedup.patience([(n, lines[n]) for n in places], theirs)}
-        gone, run = set(), []
-        for n in range(len(lines) + 1):
-            if n in aligned:
-                run.append(n)
-            else:
-                gone |= set(run) if sum(len(lines[m].split()) for m in run) >= line_dedup.BLOCK_WORDS else set()
-                run = []
-        for line in lines:
-            first.setdefault(line, i)
-        assert got[i] == ("\n".join(x for n, x in enumerate(lines) if n not in gone), len(gone)), i
-    assert sum(n for _, n in got.values()) > 50
-
-
-@pytest.mark.parametrize("common", [line_dedup.COMMON, 3, 0])
-def test_line_dedup_aligns_all_pairs(spark, common):
-    """All that a brute force removes goes that aligns each document with every earlier one on all shared lines."""
-    r = random.Random(19)
-    lines = [f"{i} " + " ".join(["word"] * r.choice([1, 4, 8])) for i in range(14)]
-    texts = [[lines[1], lines[0]], [lines[0], lines[1], "own a"], [lines[0], lines[1], "own a"], [lines[0], lines[1], "own b"]]
-    for _ in range(120):
-        texts.append(list(r.choice(texts)) if r.random() < 0.2 else [r.choice(lines) if r.random() < 0.8 else f"own {r.random()}" for _ in range(r.randint(1, 8))])
-    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    got = {x["doc_id"]: set(x["removed"]) for x in line_dedup.removals(df, Scratch(spark), common=common).collect()}
-    before, missed = set(), 0
-    for i, own in enumerate(texts):
-        aligned, held = set(), {n for n, x in enumerate(own) if x in before}
-        for other in texts[:i]:
-            both = set(own) & set(other)
-            aligned |= {n for n, _ in line_dedup.patience([p for p in enumerate(own) if p[1] in both], [p for p in enumerate(other) if p[1] in both])}
-        want = {n for run in line_dedup._runs(sorted(aligned)) if sum(len(own[n].split()) for n in run) >= line_dedup.BLOCK_WORDS for n in run}
-        most = {n for run in line_dedup._runs(sorted(held)) if sum(len(own[n].split()) for n in run) >= line_dedup.BLOCK_WORDS for n in run}
-        assert want <= got.get(i, set()) <= most, i
-        if own in texts[:i] and sum(len(x.split()) for x in own) >= line_dedup.BLOCK_WORDS:
-            assert got[i] == set(range(len(own)))  # an exact copy keeps nothing
-            missed += 1
-        before |= set(own)
-    assert missed > 10
+    rows, want, blocks_of = [], {}, {}
+    for c in range(200):
+        lines = [f"{c}.{i}" + " word" * r.choice((0, 1, 2, 4, 8)) for i in range(r.randint(3, 9))]
+        texts = []
+        for _ in range(r.randint(2, 9)):
+            kind = r.random()
+            some = r.choice(texts).split("\n") if texts and kind < 0.5 else [r.choice(lines) for _ in range(r.randint(1, 8))]
+            if 0.2 < kind < 0.5:  # changed copies: moved, cut, with lines between
+                at = r.randrange(len(some))
+                some = r.choice([some[at:] + some[:at], some[:at], some[:at] + [f"own {r.random()}", ""] + some[at:], some + some])
+            texts.append("\n".join(some) if r.random() < 0.8 else " \n\n".join(some))
+        for i, (text, gone) in enumerate(zip(texts, naive_removals(texts), strict=True)):
+            rows.append((c * 100 + i, text))
+            want[c * 100 + i] = gone
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for row in line_dedup.shared_blocks(df, Scratch(spark)).collect():
+        blocks_of[row["doc_id"]] = row
+    texts = dict(rows)
+    places = {i: [(n, x.strip()) for n, x in enumerate(t.split("\n")) if x.strip()] for i, t in texts.items()}
+    assert {i: set(row["removed"]) for i, row in blocks_of.items()} == {i: gone for i, gone in want.items() if gone}
+    for i, row in blocks_of.items():  # each block stands in the document that it names
+        for b in row["blocks"]:
+            n = len(b["lines"])
+            here, there = places[i][b["place"] : b["place"] + n], places[b["first"]][b["there"] : b["there"] + n]
+            assert [x for _, x in here] == [x for _, x in there] and [x for x, _ in here] == list(b["lines"]) and b["first"] < i
+    assert {b["moved"] for row in blocks_of.values() for b in row["blocks"]} == {True, False}
+    cut = {x["doc_id"]: (x["text"], x["n_removed"]) for x in line_dedup.dedup_lines(df, Scratch(spark)).collect()}
+    assert cut == {i: ("\n".join(x for n, x in enumerate(t.split("\n")) if n not in want[i]), len(want[i])) for i, t in texts.items()}
+
+
+def test_line_dedup_of_copies_and_pooled_lines(spark, monkeypatch):
+    long = [f"line {i} of ten words in all a b c" for i in range(6)]
+    short = [f"three words {i}" for i in range(4)]
+    texts = {1: [long[3], long[1]], 2: long, 3: long, 4: [short[0]], 5: [short[1], "x"], 6: [short[2], "y"], 7: [short[3], "z"], 8: short, 9: short[:2] + [long[0]] + short[2:]}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    for limit in (line_dedup.BROADCAST_IDS, 0):
+        monkeypatch.setattr(line_dedup, "BROADCAST_IDS", limit)
+        got = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(df, Scratch(spark)).collect()}
+        assert got[3] == ""  # a copy keeps nothing, though a third document has two of its lines in another order
+        assert got[2] == "\n".join(long[i] for i in (0, 2, 4, 5))
+        assert got[8] == "\n".join(short)  # no document holds these four lines together
+        assert got[9] == "\n".join(short)
 
 
 # --- 9 ---
