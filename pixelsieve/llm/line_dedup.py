@@ -217,7 +217,8 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORD
     if ids.count() <= BROADCAST_IDS:  # only the texts of documents that lose lines are shuffled
         ids = F.broadcast(ids)
         rest = rows.join(ids, "id", "left_anti").select("row", F.lit(None).cast("array<int>").alias("removed"))
-        joined = rows.join(ids, "id", "left_semi").join(gone, ["id", "key"], "left").select("row", "removed").unionByName(rest)
+        # by merging at every size: with line numbers of many documents a broadcast would be large
+        joined = rows.join(ids, "id", "left_semi").join(gone.hint("merge"), ["id", "key"], "left").select("row", "removed").unionByName(rest)
     else:
         joined = rows.join(gone, ["id", "key"], "left").select("row", "removed")
     text, removed = F.col("row.text"), F.col("removed")
