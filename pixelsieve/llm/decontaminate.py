@@ -1,12 +1,13 @@
 """Benchmark decontamination by size-partitioned MinHash containment (native: DataFrame functions).
 
 An item counts as contained in a document when at least a share t of its word shingles stands
-there. Items are partitioned by their number of shingles n. At most m = n - ceil(t n) shingles may
-be missing, so one at least of the m + 1 smallest hashes of the item, its MinHash sketch, is in
-every document that contains it. Each partition thus has sketches as long as its sizes ask for
-and loses nothing; a document's side of the sketch is its hashes up to the partition's largest
-sketch value, and documents with fewer shingles than a partition needs are passed by. Candidates
-are verified on the shingles themselves.
+there. A shingle is k consecutive words; an item of fewer words is one shingle of its own length, so
+it is found wherever its words stand together. Items are partitioned by that length and by their
+number of shingles n. At most m = n - ceil(t n) shingles may be missing, so one at least of the
+m + 1 smallest hashes of the item, its MinHash sketch, is in every document that contains it. Each
+partition thus has sketches as long as its sizes ask for and loses nothing; a document's side of
+the sketch is its hashes up to the partition's largest sketch value, and documents with fewer
+shingles than a partition needs are passed by. Candidates are verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -31,32 +32,41 @@ def _once(expression: Column) -> Column:
     return F.explode(F.array(expression))
 
 
-def _shingles(k: int, of: str, last: str = "size(w) - {k}") -> str:
-    """SQL of the hashes of all k consecutive words of the array column ``w``; fewer are one."""
+def _shingles(k: int, of: str) -> str:
+    """SQL of all k consecutive words of the array column ``w``, each by ``of``; none where there are fewer."""
     args = ", ".join(f"w[i + {j}]" for j in range(k))
-    return f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> {of.format(args=args)}) WHEN size(w) > 0 THEN array({of.format(args='w')}) ELSE array() END"
+    kind = "bigint" if of.startswith("xxhash64") else "string"
+    return f"CASE WHEN size(w) >= {k} THEN transform(sequence(0, size(w) - {k}), i -> {of.format(args=args)}) ELSE CAST(array() AS array<{kind}>) END"
 
 
 def hashes(k: int) -> Column:
-    return F.expr(_shingles(k, "xxhash64({args})").replace("ELSE array()", "ELSE CAST(array() AS array<bigint>)"))
+    return F.expr(_shingles(k, "xxhash64({args})"))
 
 
 def strings(k: int) -> Column:
-    whole = _shingles(k, "concat_ws(' ', {args})").replace("ELSE array()", "ELSE CAST(array() AS array<string>)")
-    return F.expr(whole)
+    return F.expr(_shingles(k, "concat_ws(' ', {args})"))
+
+
+def _by_length(lengths: list[int], make) -> Column:
+    """``make`` of the shingle length in column ``k``."""
+    out = F.when(F.col("k") == lengths[0], make(lengths[0]))
+    for n in lengths[1:]:
+        out = out.when(F.col("k") == n, make(n))
+    return out
 
 
 def sketches(items: DataFrame, k: int, percent: int) -> DataFrame:
-    """item_id, item_key, size, least (shingles needed), h: the MinHash sketch entries of each item.
+    """item_id, k (words of a shingle), shingles, size, least (shingles needed), part, sketch of each item.
 
     ``part`` is the size partition: sizes of equal bit length.
     """
     own = items.select("item_id", _once(words(F.col("text"))).alias("w"))
-    own = own.select("item_id", F.array_sort(F.array_distinct(strings(k))).alias("shingles"), F.array_sort(F.array_distinct(hashes(k))).alias("h"))
-    own = own.where("size(h) > 0").dropDuplicates(["item_id", "shingles"])
-    n = F.size("shingles")
+    own = own.select("item_id", "w", F.least(F.lit(k), F.size("w")).alias("k")).where("k > 0")
+    lengths = list(range(1, k + 1))
+    own = own.select("item_id", "k", F.array_sort(F.array_distinct(_by_length(lengths, strings))).alias("shingles"), F.array_sort(F.array_distinct(_by_length(lengths, hashes))).alias("h"))
+    own = own.dropDuplicates(["item_id", "k", "shingles"])
     least = F.expr(f"CAST((size(shingles) * {percent} + 99) DIV 100 AS INT)")
-    own = own.select("item_id", "shingles", "h", n.alias("size"), least.alias("least"), F.expr("CAST(floor(log2(size(shingles))) AS INT)").alias("part"))
+    own = own.select("item_id", "k", "shingles", "h", F.size("shingles").alias("size"), least.alias("least"), F.expr("CAST(floor(log2(size(shingles))) AS INT)").alias("part"))
     return own.withColumn("sketch", F.slice("h", 1, F.col("size") - F.col("least") + 1))
 
 
@@ -64,38 +74,46 @@ def contained_items(docs: DataFrame, items: DataFrame, scratch: Scratch, k: int
     """(doc_id, item_id, item_shingles, shared, containment) of every contained item.
 
     Words are lower-case runs of letters, marks and digits; an item of fewer than k words is one
-    shingle, which only an equally short document can hold. Items and documents without words,
-    null texts and empty tables give no rows. Null ids stay null; rows that repeat a document or
-    an item give a pair once, with its largest containment; other columns are ignored.
+    shingle of all its words. Items and documents without words, null texts and empty tables give no
+    rows. Null ids stay null; rows that repeat a document or an item give a pair once, with its
+    largest containment; other columns are ignored.
     """
-    entries = scratch.write(sketches(items, k, percent), "sketches")
-    entries = entries.withColumn("item_key", F.xxhash64("item_id", "shingles"))
-    probes = entries.select("item_key", F.col("least").alias("need"), F.explode("sketch").alias("h"))
-    bounds = entries.groupBy("part").agg(F.max(F.element_at("sketch", -1)).alias("top"), F.min("least").alias("least")).orderBy("part").collect()
-    if not bounds:  # one row for each bit length of sizes, 31 at most
+    entries = scratch.write(sketches(items, k, percent), "sketches").withColumn("item_key", F.xxhash64("item_id", "k", "shingles"))
+    probes = entries.select("item_key", "k", F.col("least").alias("need"), F.explode("sketch").alias("h"))
+    bounds = entries.groupBy("k", "part").agg(F.max(F.element_at("sketch", -1)).alias("top"), F.min("least").alias("least")).orderBy("k", "part").collect()
+    if not bounds:  # a row for each length of shingles and each bit length of sizes
         return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("item_id"), F.lit(0).alias("item_shingles"), F.lit(0).alias("shared"), F.lit(0.0).alias("containment"))
-    top, least = max(b["top"] for b in bounds), min(b["least"] for b in bounds)
-    n_entries = probes.count()
-
-    texts = docs.select("doc_id", _once(words(F.col("text"))).alias("w"))
-    # a document's sketch: each of its hashes that some partition's sketches reach and its size allows
-    reach = " OR ".join(f"(h <= {b['top']} AND n >= {b['least']})" for b in bounds)
-    rows = texts.select("doc_id", "w", _once(hashes(k)).alias("hs")).where(F.size("hs") >= least)
-    if n_entries <= BROADCAST_ENTRIES:
-        # the sketches are few: look the hashes up where they are made, and only go on with hits
-        values = sorted({r[0] for r in probes.select("h").distinct().collect()})
-        hit = F.filter("hs", lambda h: h.isin(values))
-    else:
-        hit = F.expr(f"filter(hs, h -> h <= {top})")
-    exploded = rows.select("doc_id", "w", F.size("hs").alias("n"), F.explode(F.array_distinct(hit)).alias("h")).where(reach)
-    side = F.broadcast(probes) if n_entries <= BROADCAST_ENTRIES else probes
-    candidates = exploded.join(side, "h").where("n >= need")
-    # one row for each text and item, by the text's own hash
-    candidates = candidates.groupBy("doc_id", F.xxhash64("w").alias("text_key"), "item_key").agg(F.first("w").alias("w"))
-    known = entries.select("item_id", "item_key", "shingles", "size")
-    known = F.broadcast(known) if n_entries <= BROADCAST_ENTRIES else known
-    pairs = candidates.join(known, "item_key")
-    shared = F.size(F.array_intersect("shingles", strings(k)))
+    lengths = sorted({b["k"] for b in bounds})
+    few = probes.count() <= BROADCAST_ENTRIES
+
+    key = F.xxhash64("text").alias("text_key")
+    rows = docs.select("doc_id", key, _once(words(F.col("text"))).alias("w")).where(F.size("w") >= lengths[0])
+
+    def side_of(n: int) -> Column:
+        """A document's sketch for shingles of n words: those of its hashes that a partition's sketches reach and its size allows."""
+        if few:  # look the hashes up where they are made
+            values = sorted({r[0] for r in probes.where(F.col("k") == n).select("h").distinct().collect()})
+            found = F.filter(hashes(n), lambda h: h.isin(values))
+        else:
+            tops = [F.when(F.size("w") >= b["least"] + n - 1, F.lit(b["top"])) for b in bounds if b["k"] == n]
+            top = F.greatest(F.lit(-(1 << 63)), *tops)
+            found = F.filter(hashes(n), lambda h: h <= top)
+        return F.transform(F.array_distinct(found), lambda h: F.struct(F.lit(n).alias("k"), h.alias("h")))
+
+    # words stay behind: what goes on is a text's key and a hash
+    exploded = rows.select("doc_id", "text_key", F.size("w").alias("n_words"), F.inline(F.concat(*map(side_of, lengths))))
+    side = F.broadcast(probes) if few else probes
+    candidates = exploded.join(side, ["k", "h"]).where("n_words - k + 1 >= need").select("doc_id", "text_key", "item_key").distinct()
+    known = entries.select("item_id", "item_key", "k", "shingles", "size")
+    candidates = scratch.write(candidates.join(F.broadcast(known) if few else known, "item_key").drop("item_key"), "candidates")
+    # the words of candidates' texts again
+    wanted = candidates.select("doc_id", "text_key").distinct()
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ENTRIES else wanted
+    texts = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")), "left_semi")
+    texts = texts.select("_id", "_key", _once(words(F.col("text"))).alias("w"))
+    pairs = texts.join(candidates, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_key") == F.col("text_key")))
+    shared = F.size(F.array_intersect("shingles", _by_length(lengths, strings)))
     pairs = pairs.select("doc_id", "item_id", F.col("size").alias("item_shingles"), shared.alias("shared"))
     pairs = pairs.where(F.col("shared") * 100 >= F.col("item_shingles") * percent)
     pairs = pairs.withColumn("containment", F.col("shared") / F.col("item_shingles"))

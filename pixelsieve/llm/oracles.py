@@ -52,11 +52,12 @@ def embedding_neardup(cosine: float) -> str:
 
 def decontamination(k: int = 5, percent: int = 80) -> str:
     words = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pM\pN]+'), lambda x: x <> '')"
-    grams = f"CASE WHEN len(w) >= {k} THEN list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k} - 1], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
-    return f"""WITH docs AS (SELECT doc_id, unnest({grams}) AS g FROM (SELECT doc_id, {words} AS w FROM documents)),
-    items AS (SELECT item_id, {grams} AS gs FROM (SELECT item_id, {words} AS w FROM benchmark)),
-    entries AS (SELECT item_id, len(gs) AS size, unnest(gs) AS g FROM items),
-    pairs AS (SELECT doc_id, item_id, CAST(size AS INTEGER) AS item_shingles, CAST(count(*) AS INTEGER) AS shared FROM docs JOIN entries USING (g) GROUP BY doc_id, item_id, size)
+    grams = "list_distinct(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))"
+    return f"""WITH items AS (SELECT item_id, w, least({k}, len(w)) AS k FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+    entries AS (SELECT item_id, k, len(gs) AS size, unnest(gs) AS g FROM (SELECT item_id, k, {grams} AS gs FROM items)),
+    texts AS (SELECT doc_id, {words} AS w FROM documents),
+    docs AS (SELECT doc_id, k, unnest({grams}) AS g FROM texts, (SELECT DISTINCT k FROM items) WHERE len(w) >= k),
+    pairs AS (SELECT doc_id, item_id, CAST(size AS INTEGER) AS item_shingles, CAST(count(*) AS INTEGER) AS shared FROM docs JOIN entries USING (k, g) GROUP BY doc_id, item_id, size)
     SELECT doc_id, item_id, item_shingles, shared, CAST(shared AS DOUBLE) / CAST(item_shingles AS DOUBLE) AS containment FROM pairs WHERE shared * 100 >= item_shingles * {percent}"""
 
 

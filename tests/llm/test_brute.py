@@ -266,7 +266,8 @@ def test_bound_is_rigorous():
 def test_decontamination_by_brute_force(spark, monkeypatch):
     r = random.Random(7)
     items = [(i, " ".join(prose(r, r.choice((1, 2, 5, 9))))) for i in range(40)]
-    docs = []
+    items += [(40 + n, " ".join(f"item{n}x{i}" for i in range(n))) for n in range(1, 8)]
+    docs = [(200 + n, " ".join(prose(r, 30)) + f" {x.title()}; " + " ".join(prose(r, 30))) for n, (_, x) in enumerate(items[40:])]
     for i in range(120):
         words = " ".join(prose(r, r.randint(1, 20))).split()
         if i % 3 == 0:
@@ -279,22 +280,23 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
             words[at:at] = [w.upper() for w in item]
         docs.append((i, ", ".join(words)))
 
-    def shingles(t):
-        w = re.findall(r"\w+", t.lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} - {()})
+    def shingles(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} - {()}
 
     want = {}
     for d, t in docs:
         for i, x in items:
-            s = shingles(x)
-            shared = len(s & shingles(t))
+            w = re.findall(r"\w+", x.lower())
+            k = min(5, len(w))  # shorter items are sought as they are
+            s = shingles(w, k)
+            shared = len(s & shingles(re.findall(r"\w+", t.lower()), k))
             if s and shared * 100 >= len(s) * 80:
                 want[d, i] = (len(s), shared)
     for limit in (20_000, 0):  # sketches looked up, and joined
         monkeypatch.setattr(decontaminate, "BROADCAST_ENTRIES", limit)
         got = decontaminate.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark))
         assert {(x["doc_id"], x["item_id"]): (x["item_shingles"], x["shared"]) for x in got.collect()} == want
-    assert len(want) > 20
+    assert len(want) > 20 and {1, 2, 3, 4} <= {len(x.split()) for i, x in items if any(i == j for _, j in want)}
 
 
 # --- 2 ---
