@@ -62,19 +62,37 @@ def decontamination(k: int = 5, percent: int = 80) -> str:
 
 
 def tool_call_linking() -> str:
-    """The query's conversations only hold a user's turns as calls and the turns after them as results."""
-    text = "CAST(to_json({}) AS VARCHAR)"
-    size = "length(coalesce(c.text, ''))"
-    return f"""WITH turns AS (SELECT conv_id, turn, role, text FROM conversations),
-    calls AS (SELECT conv_id, turn FROM turns WHERE role = 'user'),
-    answers AS (SELECT r.conv_id, r.turn, c.turn AS asked FROM turns r LEFT JOIN calls c ON c.conv_id = r.conv_id AND c.turn = r.turn - 1 WHERE r.role = 'assistant')
-    SELECT c.conv_id, c.turn, 'call' AS kind, c.conv_id || ':' || c.turn AS call_id, CASE WHEN a.asked IS NULL THEN 'unanswered' ELSE 'linked' END AS status, c.turn AS order_turn, 0 AS depth, CAST(0 AS BIGINT) AS n_errors,
-        '{{"arguments":{{"length":' || {size} || ',"prompt":' || {text.format("coalesce(c.text, '')")} || '}},"errors":[],"id":"' || c.conv_id || ':' || c.turn || '","name":"reply","type":"call"}}' AS json
-    FROM turns c LEFT JOIN answers a ON a.conv_id = c.conv_id AND a.asked = c.turn WHERE c.role = 'user'
-    UNION ALL SELECT r.conv_id, r.turn, 'result', r.conv_id || ':' || (r.turn - 1), CASE WHEN a.asked IS NULL THEN 'orphan' ELSE 'linked' END, r.turn, CASE WHEN a.asked IS NULL THEN 0 ELSE 1 END, 0,
-        '{{"content":' || {text.format("coalesce(r.text, '')")} || ',"id":"' || r.conv_id || ':' || (r.turn - 1) || '","type":"result"}}'
-    FROM turns r JOIN answers a ON a.conv_id = r.conv_id AND a.turn = r.turn WHERE r.role = 'assistant'
-    UNION ALL SELECT conv_id, turn, 'message', NULL, 'message', turn, 0, 0, '{{"content":' || coalesce({text.format('text')}, 'null') || ',"role":' || coalesce({text.format('role')}, 'null') || ',"type":"message"}}'
+    """Reads conversations as ``chat.turns_as_tool_messages`` says; links, orders and checks them by plain joins and recursion."""
+    quote = "CAST(to_json({}) AS VARCHAR)"
+    return f"""WITH RECURSIVE turns AS (SELECT conv_id, turn, role, text, coalesce(text, '') AS t, split_part(coalesce(text, ''), ' ', 1) AS w,
+        contains(coalesce(text, ''), chr(10)) AS lines, contains(coalesce(text, ''), ',') AS comma FROM conversations),
+    marked AS (SELECT *, w <> '' AND contains(substr(t, length(w) + 1), w) AS again FROM turns),
+    asked AS (SELECT *, conv_id || ':' || turn AS id FROM marked WHERE role = 'user'),
+    calls AS (SELECT conv_id, turn, id AS call_id, 'reply' AS name, CASE WHEN length(t) < 60 THEN 'null,"arguments_text":' || coalesce({quote.format('text')}, 'null')
+            WHEN lines THEN '{{"length":"' || length(t) || '","prompt":' || {quote.format('t')} || '}}' WHEN NOT comma THEN '{{"prompt":' || {quote.format('t')} || ',"tone":"plain"}}'
+            ELSE '{{"length":' || length(t) || ',"prompt":' || {quote.format('t')} || '}}' END AS arguments,
+            CASE WHEN length(t) < 60 THEN ['arguments are no object'] WHEN lines THEN ['length is no integer'] WHEN NOT comma THEN ['missing length', 'unknown tone'] ELSE CAST([] AS VARCHAR[]) END AS errors FROM asked
+        UNION ALL SELECT conv_id, turn, id || ':check', CASE WHEN lines THEN 'audit' ELSE 'check' END, '{{"of":"' || id || '"}}', CASE WHEN lines THEN ['unknown tool'] ELSE CAST([] AS VARCHAR[]) END FROM asked),
+    cited AS (SELECT conv_id, id AS a, conv_id || ':' || (CASE WHEN comma THEN turn - 2 ELSE turn + 2 END) AS b FROM asked
+        UNION SELECT conv_id, id, id || ':check' FROM asked WHERE again UNION SELECT conv_id, id || ':check', id FROM asked),
+    edges AS (SELECT e.* FROM cited e SEMI JOIN calls c ON c.conv_id = e.conv_id AND c.call_id = e.b),
+    reached AS (SELECT conv_id, call_id AS a, call_id AS b FROM calls UNION SELECT r.conv_id, r.a, e.b FROM reached r JOIN edges e ON e.conv_id = r.conv_id AND e.a = r.b),
+    ordered AS (SELECT r.conv_id, r.a AS call_id, max(c.turn) AS order_turn FROM reached r JOIN calls c ON c.conv_id = r.conv_id AND c.call_id = r.b GROUP BY ALL),
+    inner_edges AS (SELECT e.* FROM edges e JOIN ordered p ON p.conv_id = e.conv_id AND p.call_id = e.a JOIN ordered q ON q.conv_id = e.conv_id AND q.call_id = e.b AND q.order_turn = p.order_turn),
+    walks AS (SELECT conv_id, call_id AS a, call_id AS b, 0 AS n FROM calls UNION SELECT w.conv_id, w.a, e.b, w.n + 1 FROM walks w JOIN inner_edges e ON e.conv_id = w.conv_id AND e.a = w.b WHERE w.n < 20),
+    depths AS (SELECT conv_id, a AS call_id, max(n) AS depth, max(n) = 20 AS cyclic FROM walks GROUP BY ALL),
+    placed AS (SELECT c.*, order_turn, CASE WHEN cyclic THEN 0 ELSE depth END AS depth, cyclic FROM calls c JOIN ordered USING (conv_id, call_id) JOIN depths USING (conv_id, call_id)),
+    results AS (SELECT conv_id, turn, conv_id || ':' || (turn - 1) AS call_id, t AS content FROM marked WHERE role = 'assistant'
+        UNION ALL SELECT conv_id, turn, conv_id || ':' || (turn - 1) || ':check', 'ok' FROM marked WHERE role = 'assistant' AND lines
+        UNION ALL SELECT conv_id, turn, conv_id || ':' || (turn - 3), 'again' FROM marked WHERE role = 'assistant' AND again),
+    answered AS (SELECT conv_id, call_id, min(r.turn) AS seen FROM results r JOIN calls c USING (conv_id, call_id) WHERE r.turn > c.turn GROUP BY ALL)
+    SELECT p.conv_id, p.turn, 'call' AS kind, p.call_id, CASE WHEN cyclic THEN 'cyclic' WHEN seen IS NULL THEN 'unanswered' ELSE 'linked' END AS status, order_turn, CAST(depth AS INTEGER) AS depth, CAST(len(errors) AS BIGINT) AS n_errors,
+        '{{"arguments":' || arguments || ',"errors":' || CAST(to_json(errors) AS VARCHAR) || ',"id":"' || p.call_id || '","name":"' || name || '","type":"call"}}' AS json
+    FROM placed p LEFT JOIN answered USING (conv_id, call_id)
+    UNION ALL SELECT r.conv_id, r.turn, 'result', r.call_id, CASE WHEN p.turn IS NULL OR r.turn <= p.turn THEN 'orphan' WHEN r.turn = seen THEN 'linked' ELSE 'repeated' END, greatest(r.turn, coalesce(p.order_turn, r.turn)),
+        CAST(CASE WHEN p.turn IS NULL OR p.cyclic THEN 0 ELSE p.depth + 1 END AS INTEGER), 0, '{{"content":' || {quote.format('content')} || ',"id":"' || r.call_id || '","type":"result"}}'
+    FROM results r LEFT JOIN placed p USING (conv_id, call_id) LEFT JOIN answered USING (conv_id, call_id)
+    UNION ALL SELECT conv_id, turn, 'message', NULL, 'message', turn, 0, 0, '{{"content":' || coalesce({quote.format('text')}, 'null') || ',"role":' || coalesce({quote.format('role')}, 'null') || ',"type":"message"}}'
     FROM turns WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
 
 

@@ -31,13 +31,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
 
 
-#: What the tool that conversations are read as takes.
-REPLY = [("reply", "prompt", "string", True), ("reply", "length", "integer", True)]
+#: What the tools that conversations are read as take; ``audit`` has no schema.
+TOOLS = [("reply", "prompt", "string", True), ("reply", "length", "integer", True), ("check", "of", "string", True), ("check", "strict", "boolean", False)]
 
 
 def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = chat.turns_as_tool_messages(table(spark, sf_dir, "conversations"))
-    return chat.link_tool_calls(messages, spark.createDataFrame(REPLY, chat.SCHEMA), Scratch(spark))
+    return chat.link_tool_calls(messages, spark.createDataFrame(TOOLS, chat.SCHEMA), Scratch(spark))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import re
 from collections import defaultdict
@@ -15,7 +16,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pixelsieve.llm import bpe, common, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
+from pixelsieve.llm import bpe, chat, common, decontaminate, embeddings, langid, licenses, line_dedup, ngram_join, sharding, warc
 from pixelsieve.llm.common import Scratch
 
 SYLLABLES = {"en": ["th", "er", "on", "an", "re", "he", "in", "ed"], "de": ["sch", "ein", "ung", "ver", "ä", "ß", "zu", "pf"], "fr": ["eau", "tion", "é", "que", "è", "ou", "ç", "oi"]}
@@ -299,6 +300,68 @@ def test_decontamination_by_brute_force(spark, monkeypatch):
     assert len(want) > 20 and {1, 2, 3, 4} <= {len(x.split()) for i, x in items if any(i == j for _, j in want)}
 
 
+# --- 5 ---
+
+KEPT = ['{"b":1,"a":{"d":2,"c":[1,2.5,"x y"]}}', ' {"k": "\\" , \\\\ {1e5} \\u00e9", "n": 12345678901234567890123456789012345678 }', "{}", '{"a":null,"b":[ ]}', json.dumps({"t": "\\ \"\n" * 20_000})]
+RAW = ['{"a":1,"a":2}', '{"a":{"x":1,"x":2}}', '{"a":1} x', '{"a":1}{"b":2}', '{"a":1e2}', '{"a":1.50}', '{"a":123456789012345678901234567890123456789}', '{"a":0.1234567890123456789012345678901234567890}', "no", "[1]", "", '{"a":1', "{'a':1}"]
+
+
+def test_arguments_lose_nothing(spark):
+    tool = lambda i, a: json.dumps({"tool_calls": [{"id": f"c{i}", "name": "t", "arguments": a}]})
+    rows = [(1, i, "assistant", tool(i, a)) for i, a in enumerate(KEPT + RAW)]
+    schemas = spark.createDataFrame([("t", "a", "integer", False)], chat.SCHEMA)
+    got = chat.link_tool_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), schemas, Scratch(spark))
+    written = {r["turn"]: json.loads(r["json"]) for r in got.collect()}
+    raw = {r["turn"]: r["json"] for r in got.collect()}
+    for i, a in enumerate(KEPT):
+        assert written[i]["arguments"] == json.loads(a) and "arguments_text" not in written[i]
+        assert json.dumps(json.loads(a), sort_keys=True, separators=(",", ":"), ensure_ascii=False) in raw[i]
+    for i, a in enumerate(RAW, len(KEPT)):
+        assert written[i]["arguments"] is None and written[i]["arguments_text"] == a and written[i]["errors"], a
+
+
+def longest_walks(cites):
+    """Depth of each call, None where it leads to a cycle."""
+    out, left = {}, set(cites)
+    while ready := {c for c in left if all(x in out for x in cites[c])}:
+        for c in ready:
+            out[c] = 1 + max((out[x] for x in cites[c]), default=-1)
+        left -= ready
+    return out | dict.fromkeys(left)
+
+
+@pytest.mark.parametrize("grouped", [chat.GROUPED_CITATIONS, 3])
+def test_order_by_brute_force(spark, monkeypatch, grouped):
+    monkeypatch.setattr(chat, "GROUPED_CITATIONS", grouped)
+    r = random.Random(11)
+    rows, turns = [], {}
+    for conv in range(60):
+        names = [f"{conv}.{i}" for i in range(r.randint(1, 9))]
+        for name in names:
+            turns[conv, name] = r.randint(0, 3)
+            rows.append((conv, turns[conv, name], name, [r.choice([*names, "nobody"]) for _ in range(r.randint(0, 2))]))
+    got = {(x["conv_id"], x["call_id"]): x for x in chat.order_calls(spark.createDataFrame(rows, "conv_id long, turn long, call_id string, after array<string>"), Scratch(spark)).collect()}
+    cites = {(c, n): {(c, x) for x in a if (c, x) in turns} for c, _, n, a in rows}
+    order = dict(turns)
+    while late := {k: max(order[x] for x in v) for k, v in cites.items() if v and max(order[x] for x in v) > order[k]}:
+        order |= late
+    inside = {k: {x for x in v if order[x] == order[k]} for k, v in cites.items()}
+    depth = longest_walks(inside)
+    assert {k: (x["order_turn"], x["depth"], x["cyclic"]) for k, x in got.items()} == {k: (order[k], depth[k], depth[k] is None) for k in order}
+    assert {None, 0, 1, 2} <= set(depth.values())
+
+
+def test_long_chains_take_few_jobs(spark, monkeypatch):
+    n = 1000
+    one = [(1, 5, f"a{i}", [f"a{i - 1}"]) for i in range(n)]  # all in a message
+    many = [(2, i, f"b{i}", [f"b{i - 1}"]) for i in range(n)]  # a message each
+    scratch, written = Scratch(spark), []
+    monkeypatch.setattr(scratch, "write", lambda df, name, write=scratch.write: (written.append(name), write(df, name))[1])
+    got = chat.order_calls(spark.createDataFrame(one + many, "conv_id long, turn long, call_id string, after array<string>"), scratch).collect()
+    assert {x["call_id"]: (x["order_turn"], x["depth"]) for x in got} == {f"a{i}": (5, i) for i in range(n)} | {f"b{i}": (i, 0) for i in range(n)}
+    assert len(written) < 10
+
+
 # --- 2 ---
 
 
