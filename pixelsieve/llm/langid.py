@@ -175,8 +175,8 @@ def host_priors(rows: DataFrame, classes: list[str]) -> DataFrame:
 def identify(rows: DataFrame, scratch: Scratch, model: Model, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: Column | None = None) -> DataFrame:
     """key, text_key, language, confidence, text_language, declared, n_letters, kept.
 
-    ``declared`` names a column that declares the language, such as a markup attribute or a
-    metadata field; ``host`` is the host of the address, if any. kept is false where the most
+    ``declared`` names a column that declares the language, such as a markup attribute; it is no evidence of its
+    own where the model learned the same rows by it as their label. ``host`` is the host of the address, if any. kept is false where the most
     probable class is "und". Null and empty texts and those without letters are "und";
     one of a letter or two has no trigram and goes by the other evidence. Null hosts take no prior, null declarations no
     evidence; rows that repeat a text get the same result each; an empty table gives no rows;
@@ -229,9 +229,19 @@ def markup_text(html: str = "html") -> Column:
     return F.regexp_replace(bare, r"(?s)<[^>]*>|&[a-zA-Z#0-9]+;", " ")
 
 
+def evidence_of_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, text, declared, host. The source stands for the host; lang is the model's label and so declares nothing."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(None).cast("string").alias("declared"), F.col("source").alias("host"))
+
+
+def evidence_of_pages(pages: DataFrame) -> DataFrame:
+    """The same of web pages: doc_id is -1 - page_id, so that ids of pages and documents never meet."""
+    return pages.select((-1 - F.col("page_id")).cast("long").alias("doc_id"), markup_text().alias("text"), markup_language().alias("declared"), page_host().alias("host"))
+
+
 def keep_identified(docs: DataFrame, scratch: Scratch, model: Model) -> DataFrame:
     """The documents whose language is determined, with all their columns; null ids stay."""
-    found = identify(docs, scratch, model, host=F.col("source"))
+    found = identify(evidence_of_documents(docs), scratch, model, declared="declared", host=F.col("host"))
     rejected = found.where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     same = (docs["doc_id"] == rejected["_id"]) & (F.xxhash64(docs["text"]) == rejected["_key"])
     return docs.join(rejected, same, "left_anti")

@@ -46,8 +46,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all documents and, with doc_id = -1 - page_id, of all pages, which alone declare their language and have hosts of several levels."""
     docs = table(spark, sf_dir, "documents")
-    return langid.identify(docs, Scratch(spark), langid.train(docs), host=F.col("source"))
+    rows = langid.evidence_of_documents(docs).unionByName(langid.evidence_of_pages(table(spark, sf_dir, "pages")))
+    return langid.identify(rows, Scratch(spark), langid.train(docs), declared="declared", host=F.col("host"))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

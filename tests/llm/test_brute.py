@@ -3,12 +3,14 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -417,6 +419,48 @@ def test_other_evidence_decides_what_text_does_not(spark):
     assert [got[i] for i in (100, 101, 102, 103)] == ["de"] * 4
 
 
+def test_fusion_by_brute_force(spark):
+    """Every posterior computed anew, in plain Python, from the texts' likelihoods."""
+    model = langid.fit({x: [" ".join(prose(random.Random(1), 60, x))] for x in ("en", "de")})
+    classes, r = model.classes, random.Random(4)
+    hosts = [None, "a.site.de", "b.site.de", "x.org", "y.org", "z.x.org", "local", "A.Site.DE"]
+    rows = [(i, r.choice(["", "x", "12 !", " ".join(prose(r, r.randint(1, 3), r.choice(("en", "de"))))]), r.choice([None, "de", "en", "en-US", " de ", "fr"]), r.choice(hosts)) for i in range(150)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, host string"), Scratch(spark), model, host=F.col("host"))
+    got = {x["doc_id"]: x for x in found.collect()}
+    sums, letters = model.likelihoods(pa.array([t for _, t, _, _ in rows]))
+    texts = [(s / langid.OVERLAP).tolist() for s in sums]
+    of_text = [classes[s.index(max(s))] if n else "und" for s, n in zip(texts, letters, strict=True)]
+    said = [d.strip().split("-")[0].lower() if d else None for _, _, d, _ in rows]
+    host = [h.lower() if h else None for *_, h in rows]
+    site = lambda h: ".".join(h.split(".")[-2:])
+    suffix = lambda h: h.split(".")[-1] if "." in h else None
+
+    def counts(ok):
+        return [float(sum(t == c for t, o in zip(of_text, ok, strict=True) if o)) for c in classes]
+
+    def drawn(n, prior):
+        return [(a + langid.HOST_WEIGHT * p) / (sum(n) + langid.HOST_WEIGHT) for a, p in zip(n, prior, strict=True)]
+
+    everywhere = [(n + 1) / (sum(counts([h is not None for h in host])) + len(classes)) for n in counts([h is not None for h in host])]
+    values = {d for d in said if d is not None}
+    for i in range(len(rows)):
+        score = [t + (math.log(langid.UND_PRIOR) if c == "und" else 0.0) for t, c in zip(texts[i], classes, strict=True)]
+        if said[i] is not None:
+            here, whole = counts([d == said[i] for d in said]), counts([d is not None for d in said])
+            score = [s + math.log((a + langid.DECLARED_WEIGHT) / (b + langid.DECLARED_WEIGHT * len(values))) for s, a, b in zip(score, here, whole, strict=True)]
+        if host[i] is not None:
+            x = suffix(host[i])
+            prior = drawn(counts([h is not None and suffix(h) == x for h in host]), everywhere)
+            prior = drawn(counts([h is not None and suffix(h) == x and site(h) == site(host[i]) for h in host]), prior)
+            prior = drawn(counts([h == host[i] for h in host]), prior)
+            score = [s + math.log(p) for s, p in zip(score, prior, strict=True)]
+        best = max(score)
+        assert got[i]["language"] == (classes[score.index(best)] if letters[i] else "und"), i
+        assert abs(got[i]["confidence"] - 1 / sum(math.exp(s - best) for s in score)) < 1e-9
+        assert (got[i]["text_language"], got[i]["declared"], got[i]["n_letters"], got[i]["kept"]) == (of_text[i], said[i], letters[i], got[i]["language"] != "und")
+    assert {x["language"] for x in got.values()} == {"en", "de", "und"}
+
+
 def test_pages_have_evidence(spark):
     html = "<html class=x lang='de'><head><script>var a = 'the';</script></head><body><!-- no --><p>wort &amp; mehr</p></body>"
     row = spark.createDataFrame([("https://m.site.de/x", html), (None, None)], "url string, html string").select(langid.page_host().alias("h"), langid.markup_language().alias("l"), langid.markup_text().alias("t")).collect()
