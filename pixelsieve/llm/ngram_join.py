@@ -1,9 +1,9 @@
-"""Word n-gram Jaccard self-join by count vectors in packed R-trees.
+"""Word n-gram Jaccard self-join by count vectors in R-trees.
 
 Each text becomes the set of hashes of its word shingles. Sets are hashed into groups; the counts
 of the groups are a point, and the summed coordinate minima of two points bound the overlap of
 their sets from above. Random counts have no low-dimensional structure, so a single R-tree over
-all points prunes nothing at its upper levels (README has the figures). The upper levels are
+all points prunes next to nothing at its upper levels (README has the figures). They are
 therefore cut where the bound is tightest, at groups that must be whole:
 
 * Sets with Jaccard similarity t or more differ in at most D = n (1 - t) / t members, n being the
@@ -12,7 +12,7 @@ therefore cut where the bound is tightest, at groups that must be whole:
   class (and, near the upper end of the class, of the next one too); linked sets meet in a tile
   of an equal group. This loses no pair.
 * In a tile every set is held against the tile's smallest one first. While the links found so
-  far leave a tile in more than one component, a packed R-tree over its count vectors yields the
+  far leave a tile in more than one component, an R-tree over its count vectors, descended from the root, yields the
   pairs of different components whose bound reaches the threshold: twice only so many as would
   join the components that they touch, if all of them link, and then all that are left.
 * Surviving pairs are verified on their whole shingle sets.
@@ -33,6 +33,8 @@ from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, component
 
 #: Coordinates of a point, members of a leaf, and members of a block of a tile.
 DIMENSIONS, LEAF, BLOCK = 512, 32, 512
+#: Children of an inner node, and pairs of nodes whose bounds are looked at together.
+FANOUT, NODE_PAIRS = 4, 4096
 BOTH_SIDES, OUT_SIDE, ALL_SIDE = 0, 1, 2
 #: Rounds in which tiles only yield pairs that would join components, and rows that are broadcast.
 JOINING_ROUNDS, BROADCAST_ROWS = 2, 500_000
@@ -94,40 +96,67 @@ def least_overlap(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarra
     return -((-num * (a + b)) // (num + den))
 
 
-def packed_tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, first: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _overlap(a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(-1, dtype=np.int64) + np.minimum(more_a, more_b)
+
+
+def leaf_pairs(points: np.ndarray, sizes: np.ndarray, more: np.ndarray, num: int, den: int, seen: list | None = None) -> np.ndarray:
+    """Pairs (i, j), i <= j, of leaves of rows in order of size that may hold a pair of rows, by descent from the root.
+
+    A node's corner is the maximum of each coordinate of its rows, so summed minima of two corners bound
+    those of every two rows below. ``seen`` gets (pairs looked at, pairs that stay) of each level.
+    """
+    levels = []
+    width = LEAF
+    while True:
+        starts = np.arange(0, len(sizes), width)
+        last = np.minimum(starts + width, len(sizes)) - 1
+        levels.append((np.maximum.reduceat(points, starts), np.maximum.reduceat(more, starts), sizes[starts], sizes[last]))
+        if len(starts) == 1:
+            break
+        width *= FANOUT
+    pairs = np.zeros((1, 2), np.int64)
+    for level, (corner, corner_more, small, large) in enumerate(levels[::-1]):
+        if level:  # children of the pairs that stay
+            step = np.arange(FANOUT)
+            i, j = (np.broadcast_to(x, (len(pairs), FANOUT, FANOUT)).ravel() for x in ((pairs[:, :1] * FANOUT + step)[:, :, None], (pairs[:, 1:] * FANOUT + step)[:, None]))
+            pairs = np.stack([i, j], 1)[(i <= j) & (j < len(small))]
+        keep = []
+        for at in range(0, len(pairs), NODE_PAIRS):
+            i, j = pairs[at : at + NODE_PAIRS].T
+            ok = small[j] * num <= large[i] * den
+            i, j = i[ok], j[ok]
+            bound = _overlap(corner[i], corner[j], corner_more[i], corner_more[j])
+            ok = bound >= least_overlap(small[i], np.maximum(small[j], small[i]), num, den)
+            keep.append(np.stack([i[ok], j[ok]], 1))
+        if seen is not None:
+            seen.append((len(pairs), sum(map(len, keep))))
+        pairs = np.concatenate(keep) if keep else pairs[:0]
+    return pairs
+
+
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, first: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows whose summed coordinate minima reach the least overlap.
 
     Only pairs of different ``parts``, one row being of ``first`` (a mask) and, where the mask
-    doesn't hold for all, the other not. Leaves hold rows of similar size; a leaf's corner is the
-    maximum of each coordinate, so the minima against it bound those against every member.
+    doesn't hold for all, the other not. Rows are packed into a tree in order of size.
     """
     order = np.lexsort((points[:, 0], sizes))
     points, sizes, parts, first = points[order], sizes[order], parts[order], first[order]
     more = excess(points, sizes)
-    starts = np.arange(0, len(order), LEAF)
-    corner, corner_more = np.maximum.reduceat(points, starts), np.maximum.reduceat(more, starts)
-    small, large = sizes[starts], sizes[np.minimum(starts + LEAF, len(order)) - 1]
     split = not first.all()
-
-    def overlap(a: np.ndarray, b: np.ndarray, more_a: np.ndarray, more_b: np.ndarray) -> np.ndarray:
-        return np.minimum(a, b).sum(-1, dtype=np.int64) + np.minimum(more_a, more_b)
-
-    for i, at in enumerate(starts):
-        rows = slice(at, at + LEAF)
-        near = np.flatnonzero((small * num <= large[i] * den) & (starts >= at))
-        if len(near):  # leaf against leaf
-            near = near[overlap(corner[i], corner[near], corner_more[i], corner_more[near]) >= least_overlap(small[i], np.maximum(small[near], small[i]), num, den)]
-        for j in near:
-            bound = overlap(points[rows], corner[j], more[rows], corner_more[j])  # rows against leaf
-            mine = at + np.flatnonzero(bound >= least_overlap(sizes[rows], np.maximum(small[j], sizes[rows] * num // den), num, den))
-            others = np.arange(starts[j], min(starts[j] + LEAF, len(order)))
-            ok = parts[mine][:, None] != parts[others][None]
-            ok &= (first[mine][:, None] != first[others][None]) if split else True
-            ok &= mine[:, None] < others[None]
-            x, y = np.nonzero(ok)
-            x, y = mine[x], others[y]
-            ok = overlap(points[x], points[y], more[x], more[y]) >= least_overlap(sizes[x], sizes[y], num, den)
-            yield order[x[ok]], order[y[ok]]
+    for i, j in leaf_pairs(points, sizes, more, num, den).tolist():
+        own, others = (np.arange(x * LEAF, min((x + 1) * LEAF, len(order))) for x in (i, j))
+        corner, corner_more, small = points[others].max(0), more[others].max(), sizes[others[0]]
+        bound = _overlap(points[own], corner, more[own], corner_more)  # rows against leaf
+        mine = own[bound >= least_overlap(sizes[own], np.maximum(small, sizes[own] * num // den), num, den)]
+        ok = parts[mine][:, None] != parts[others][None]
+        ok &= (first[mine][:, None] != first[others][None]) if split else True
+        ok &= mine[:, None] < others[None]
+        x, y = np.nonzero(ok)
+        x, y = mine[x], others[y]
+        ok = _overlap(points[x], points[y], more[x], more[y]) >= least_overlap(sizes[x], sizes[y], num, den)
+        yield order[x[ok]], order[y[ok]]
 
 
 def joining(parts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -149,26 +178,30 @@ def joining(parts: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _prepare(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), signatures, point."""
+    """doc_id, key (hash of the text), n_shingles, node (hash of the set), signatures, point."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, node, signatures, points = [], [], [], []
-            for members in shingle_sets(batch.column(1), k):
+            for members in shingle_sets(batch.column(2), k):
                 n.append(len(members))
                 full = len(members) > 0
                 node.append(set_hash(members) if full else None)
                 signatures.append(group_signatures(members, num, den).view(np.int64) if full else np.zeros(0, np.int64))
                 points.append(point(members).tobytes() if full else None)
             made = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), list_array(signatures, pa.int64()), pa.array(points, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "node", "signatures", "point"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["doc_id", "key", "n_shingles", "node", "signatures", "point"])
+
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, key long, n_shingles long, node long, signatures array<long>, point binary")
+
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(tidy(run), "doc_id long, n_shingles long, node long, signatures array<long>, point binary")
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, members) for the wanted (node, doc_id), computed from the texts again."""
+    """(node, members) for the wanted (node, doc_id, key), computed from the texts again; ids may be null."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,8 +209,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             node = [set_hash(m) if len(m) else None for m in members]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), list_array([m.view(np.int64) for m in members], pa.int64())], names=["wanted", "node", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.join(wanted, "doc_id").select(F.col("node").alias("wanted"), "text")
+    held, asked = (x.withColumn("id", F.coalesce("doc_id", F.lit(0).cast("long"))).drop("doc_id") for x in (_texts(docs), wanted))
+    found = held.join(asked, ["id", "key"]).select(F.col("node").alias("wanted"), "text")
     found = found.mapInArrow(tidy(run), "wanted long, node long, members array<long>").where("wanted = node")
     return found.select("node", "members").dropDuplicates(["node"])  # rows may repeat a document
 
@@ -207,9 +240,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return own.where(F.col("both") * den >= (F.col("sum") - F.col("both")) * num).select("a", "b")
 
 
-def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> DataFrame:
+def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: int | None) -> DataFrame:
     """(signature, a, b): pairs of different components within tiles (signature, node, part, point, n).
 
+    ``only_joining`` is the number of a round that only takes pairs which would join components; each round
+    tries them in another order, so that pairs that didn't link stand back.
     A pair of different components has a set outside the tile's largest one. A tile of more than
     BLOCK sets is therefore cut into blocks of those outside and blocks of all, which meet pair by
     pair: a task holds two blocks at most, and where few sets are outside, the rows stay linear.
@@ -233,10 +268,12 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: bool) -> Dat
         node, part, signature = (rows[c].to_numpy() for c in ("node", "part", "signature"))
         points = np.frombuffer(b"".join(rows["point"].to_pylist()), np.uint8).reshape(-1, DIMENSIONS)
         first = rows["side"].to_numpy() != ALL_SIDE
-        found = list(packed_tree_pairs(points, rows["n"].to_numpy(), part, first, num, den))
+        found = list(tree_pairs(points, rows["n"].to_numpy(), part, first, num, den))
         x = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
         y = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-        if only_joining:
+        if only_joining is not None:
+            turn = np.argsort(mix64((node[x] ^ node[y]).view(np.uint64) + np.uint64(only_joining)), kind="stable")
+            x, y = x[turn], y[turn]
             keep = joining(part, x, y)
             x, y = x[keep], y[keep]
         return np.full(len(x), signature[0]), np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
@@ -275,17 +312,18 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
     rows = scratch.write(_prepare(docs, k, num, den), "rows")
     full = rows.where("node IS NOT NULL")
 
-    # tiles: equal groups of at least two different sets
-    classes = full.groupBy("node").agg(F.first("signatures").alias("signatures"))
+    # tiles: equal groups of at least two different sets. Joins of written tables, so that the engine can split large tiles
+    classes = scratch.write(full.groupBy("node").agg(F.first("signatures").alias("signatures")), "classes")
     exploded = classes.select("node", F.explode(F.array_distinct("signatures")).alias("signature"))
-    tiles = exploded.selectExpr("signature", "node", "min(node) OVER (PARTITION BY signature) AS centre", "max(node) OVER (PARTITION BY signature) AS other")
-    tiles = scratch.write(tiles.where("centre <> other").select("signature", "node", "centre"), "tiles")
+    shared = scratch.write(exploded.groupBy("signature").agg(F.count("*").alias("k")).where("k > 1").select("signature"), "shared")
+    tiles = scratch.write(exploded.join(shared, "signature").select("signature", "node"), "tiles")
+    centres = scratch.write(tiles.groupBy("signature").agg(F.min("node").alias("centre")), "centres")
 
     met = tiles.select("node").distinct()
-    points = full.join(met, "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    points = full.join(met, "node", "left_semi").groupBy("node").agg(F.first("point").alias("point"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     points = scratch.write(points, "points")
 
-    star = tiles.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = tiles.join(centres, "signature").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     star = scratch.write(_bounded(star, points, num, den), "star")
     links = scratch.write(_verify(star, docs, points, scratch, "star", k, num, den), "star-links")
     found, tested = scratch.write(components(links, scratch, "star-components"), "star-found"), star
@@ -296,7 +334,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
         tiles = scratch.write(split.join(open_tiles, "signature"), f"tiles-{turn}")
         if not tiles.limit(1).count():
             break
-        close = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn < JOINING_ROUNDS)
+        close = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn if turn < JOINING_ROUNDS else None)
         close = scratch.write(close, f"close-{turn}")
         rest = scratch.write(close.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"rest-{turn}")
         tested = tested.unionByName(rest)
@@ -318,7 +356,7 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
 
 def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, scratch: Scratch, name: str, k: int, num: int, den: int) -> DataFrame:
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = scratch.write(points.join(nodes, "node").select("node", "doc_id"), f"{name}-wanted")
+    wanted = scratch.write(points.join(nodes, "node").select("node", "doc_id", "key"), f"{name}-wanted")
     if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
         wanted = F.broadcast(wanted)
     sets = scratch.write(_sets_of(docs, wanted, k), f"{name}-sets")

@@ -214,13 +214,34 @@ def test_tree_yields_all_pairs(spark):
     points = np.clip(base[rng.integers(0, 6, 150)] + rng.integers(-1, 2, (150, ngram_join.DIMENSIONS)) * (rng.random((150, ngram_join.DIMENSIONS)) < 0.03), 0, 255).astype(np.uint8)
     sizes, parts = points.sum(1, dtype=np.int64), rng.integers(0, 90, 150)
     want = {(i, j) for i in range(150) for j in range(i) if parts[i] != parts[j] and np.minimum(points[i], points[j]).sum() >= ngram_join.least_overlap(sizes[i], sizes[j], 85, 100)}
-    found = [(max(x, y), min(x, y)) for a, b in ngram_join.packed_tree_pairs(points, sizes, parts, np.ones(150, bool), 85, 100) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+    found = [(max(x, y), min(x, y)) for a, b in ngram_join.tree_pairs(points, sizes, parts, np.ones(150, bool), 85, 100) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     assert set(found) == want and len(found) == len(want) > 100
     first = rng.random(150) < 0.5
-    split = {(max(x, y), min(x, y)) for a, b in ngram_join.packed_tree_pairs(points, sizes, parts, first, 85, 100) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+    split = {(max(x, y), min(x, y)) for a, b in ngram_join.tree_pairs(points, sizes, parts, first, 85, 100) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
     assert split == {(i, j) for i, j in want if first[i] != first[j]}
 
 
+def test_inner_nodes_lose_no_pair_and_prune():
+    rng = np.random.default_rng(2)
+    base = rng.poisson(0.2, (40, ngram_join.DIMENSIONS)) * rng.choice([1, 1, 4], (40, 1))
+    points = np.clip(base[rng.integers(0, 40, 1500)] + (rng.random((1500, ngram_join.DIMENSIONS)) < 0.01), 0, 255).astype(np.uint8)
+    points = points[np.argsort(points.sum(1, dtype=np.int64), kind="stable")]
+    sizes, seen = points.sum(1, dtype=np.int64), []
+    leaves = {tuple(p) for p in ngram_join.leaf_pairs(points, sizes, ngram_join.excess(points, sizes), 85, 100, seen).tolist()}
+    for i in range(0, 1500, 7):
+        close = np.flatnonzero(np.minimum(points[i], points).sum(1, dtype=np.int64) >= ngram_join.least_overlap(sizes[i], sizes, 85, 100))
+        assert {tuple(sorted((i // ngram_join.LEAF, j // ngram_join.LEAF))) for j in close.tolist()} <= leaves
+    assert len(seen) == 4 and seen[-1][0] < 47 * 48 // 2 and len(leaves) < seen[-1][0]
+
+
+def test_a_row_without_id_bridges_two(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = lambda *skip: " ".join(w for i, w in enumerate(words) if i not in skip)
+    rows = [(7, near(*range(12))), (None, near()), (9, near(*range(188, 200))), (None, None), (None, "other words stand here now")]
+    got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 5, 90, 100).collect()}
+    assert got == {(7, 184): 7, (None, 196): 7, (9, 184): 7, (None, 0): None, (None, 1): None}
+
+
 def test_all_pairs_of_open_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "JOINING_ROUNDS", 0)
     monkeypatch.setattr(ngram_join, "BLOCK", 24)
