@@ -13,8 +13,9 @@ therefore cut where the bound is tightest, at groups that must be whole:
   of an equal group. This loses no pair.
 * In a tile every set is held against the tile's smallest one first. While the links found so
   far leave a tile in more than one component, an R-tree over its count vectors, descended from the root, yields the
-  pairs of different components whose bound reaches the threshold: twice only so many as would
-  join the components that they touch, if all of them link, and then all that are left.
+  pairs of different components whose bound reaches the threshold: only so many as would join
+  the components that they touch, if all of them link, as long as half of such pairs do link,
+  and then all that are left.
 * Surviving pairs are verified on their whole shingle sets.
 
 Equal sets are one class all the way; copies are never expanded into pairs.
@@ -36,8 +37,8 @@ DIMENSIONS, LEAF, BLOCK = 512, 32, 512
 #: Children of an inner node, and pairs of nodes whose bounds are looked at together.
 FANOUT, NODE_PAIRS = 4, 4096
 BOTH_SIDES, OUT_SIDE, ALL_SIDE = 0, 1, 2
-#: Rounds in which tiles only yield pairs that would join components, and rows that are broadcast.
-JOINING_ROUNDS, BROADCAST_ROWS = 2, 500_000
+#: Share of pairs that must link for another round of only pairs that would join components, and rows that are broadcast.
+JOINING_SHARE, BROADCAST_ROWS = 0.5, 500_000
 _SHIFT = np.uint64(64 - DIMENSIONS.bit_length() + 1)
 
 
@@ -106,8 +107,9 @@ def leaf_pairs(points: np.ndarray, sizes: np.ndarray, more: np.ndarray, num: int
     A node's corner is the maximum of each coordinate of its rows, so summed minima of two corners bound
     those of every two rows below. ``seen`` gets (pairs looked at, pairs that stay) of each level.
     """
-    levels = []
-    width = LEAF
+    if len(sizes) <= LEAF:  # the root is the only leaf, as in most tiles
+        return np.zeros((1, 2), np.int64)
+    levels, width = [], LEAF
     while True:
         starts = np.arange(0, len(sizes), width)
         last = np.minimum(starts + width, len(sizes)) - 1
@@ -327,23 +329,28 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
     star = scratch.write(_bounded(star, points, num, den), "star")
     links = scratch.write(_verify(star, docs, points, scratch, "star", k, num, den), "star-links")
     found, tested = scratch.write(components(links, scratch, "star-components"), "star-found"), star
-    for turn in range(JOINING_ROUNDS + 1):
+    turn, last = 0, JOINING_SHARE > 1
+    while True:
         # tiles that the links so far leave in several components
         split = tiles.select("signature", "node").join(found, "node", "left").select("signature", "node", F.coalesce("component", "node").alias("part"))
         open_tiles = split.groupBy("signature").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("signature")
         tiles = scratch.write(split.join(open_tiles, "signature"), f"tiles-{turn}")
         if not tiles.limit(1).count():
             break
-        close = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, turn if turn < JOINING_ROUNDS else None)
+        close = _tile_pairs(tiles.join(points.select("node", "point", "n"), "node"), num, den, None if last else turn)
         close = scratch.write(close, f"close-{turn}")
         rest = scratch.write(close.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"rest-{turn}")
         tested = tested.unionByName(rest)
         more = scratch.write(_verify(rest, docs, points, scratch, f"rest-{turn}", k, num, den), f"links-{turn}")
         links = links.unionByName(more)
-        if more.limit(1).count():
+        n_rest, n_more = rest.count(), more.count()
+        if n_more:
             found = scratch.write(components(links, scratch, f"components-{turn}"), f"found-{turn}")
+        if last:
+            break
         # a tile without a pair now has none later: components only merge
         tiles = tiles.join(close.select("signature").distinct(), "signature", "left_semi").select("signature", "node")
+        turn, last = turn + 1, n_more <= JOINING_SHARE * n_rest
 
     # the smallest doc_id of each component, for every document
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left")

@@ -243,7 +243,7 @@ def test_a_row_without_id_bridges_two(spark):
 
 
 def test_all_pairs_of_open_tiles(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "JOINING_ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "JOINING_SHARE", 2.0)
     monkeypatch.setattr(ngram_join, "BLOCK", 24)
     test_ngram_join_by_brute_force(spark, 2, 50)
 
