@@ -199,17 +199,17 @@ def shared_blocks(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WO
     return matches.mapInArrow(tidy(run), f"doc_id long, key long, blocks {_BLOCKS}, removed array<int>")
 
 
-def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Deletes from each document the blocks that earlier ones hold; adds n_lines, n_removed.
+def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORDS, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """Deletes from each document the blocks that earlier ones hold; adds n_lines, n_removed, or ``counts``.
 
     Earlier is the smaller doc_id. Lines are compared without the white space around them; blank lines
     never go and don't end a block; a block goes when it has ``block_words`` words, so an exact copy of
     as many words keeps only its blank lines. What a document itself repeats stays. Rows with a null
     doc_id or text stay as they are (a null text has no lines); rows of one doc_id, whether of the same
     text or of others, are not compared with each other; an empty table gives no rows; all other
-    columns stay, but for columns named n_lines or n_removed, which are replaced.
+    columns stay, but for columns named as ``counts``, which are replaced.
     """
-    own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [c for c in docs.columns if c not in counts]
     gone = scratch.write(shared_blocks(docs, scratch, block_words).select(F.col("doc_id").alias("id"), "key", "removed"), "removed")
     # the row as one column: no other name of it meets those used here
     rows = docs.select(F.struct(*own).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("key"))
@@ -228,4 +228,4 @@ def dedup_lines(docs: DataFrame, scratch: Scratch, block_words: int = BLOCK_WORD
     n_lines = F.when(F.length(text) > 0, F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     columns = [F.when(removed.isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in own]
     n_removed = F.when(removed.isNull(), 0).otherwise(F.size(removed))
-    return joined.select(*columns, n_lines.cast("long").alias("n_lines"), n_removed.cast("long").alias("n_removed"))
+    return joined.select(*columns, n_lines.cast("long").alias(counts[0]), n_removed.cast("long").alias(counts[1]))

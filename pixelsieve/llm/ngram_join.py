@@ -27,7 +27,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelsieve.llm.common import NOT_SPACE, Scratch, bounded_batches, components, list_array, mix64, shingle_hashes, tidy, utf8_chunks, whole_hash, words_of
@@ -302,9 +302,10 @@ def _tile_pairs(tiles: DataFrame, num: int, den: int, only_joining: int | None)
 
 
 def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id: groups of documents linked by den * both >= num * union.
+    """doc_id, n_shingles, component_id, text_key, group_key: groups of documents linked by den * both >= num * union.
 
-    component_id is the smallest doc_id that links reach. Words are split at ASCII white space
+    component_id is the smallest doc_id that links reach; text_key is the hash of the text, and group_key
+    tells groups apart where ids are null or repeat (null without shingles). Words are split at ASCII white space
     after lower-casing A-Z; texts of fewer than k words are one shingle; null and empty texts
     have no shingles and link with nothing. Rows that repeat a doc_id are rows of their own;
     a row with a null doc_id takes part in links and gets its group's id, if it has one; an
@@ -355,10 +356,37 @@ def jaccard_components(docs: DataFrame, scratch: Scratch, k: int = 5, num: int =
     # the smallest doc_id of each component, for every document
     classes = full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(found, "node", "left")
     whole = classes.where("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("whole"))
-    named = classes.join(whole, "component", "left").where("n > 1 OR whole IS NOT NULL").select("node", F.coalesce("whole", "least").alias("component_id"))
+    group = F.coalesce("component", "node").alias("group_key")
+    named = classes.join(whole, "component", "left").where("n > 1 OR whole IS NOT NULL").select("node", F.coalesce("whole", "least").alias("component_id"), group)
     named = scratch.write(named, "named")  # so that the join can be split where a class has very many copies
-    out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "key", "n_shingles", "node").join(named, "node", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.col("key").alias("text_key"), F.coalesce("group_key", "node").alias("group_key"))
+
+
+def keep_first(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The documents but one of each group of near duplicates, with all their columns.
+
+    Of a group stays the row with the smallest doc_id, then the smallest hash of the text; rows without
+    an id stand last. Of rows equal in doc_id (or both without one) and text one stays. Documents without
+    words are in no group; an empty table gives no rows.
+    """
+    found = scratch.write(jaccard_components(docs, scratch, k, num, den), "found")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    groups = found.where("group_key IS NOT NULL").groupBy("group_key").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    groups = scratch.write(groups.where("first <> last").select("group_key", "first"), "groups")
+    gone = found.select("group_key", row.alias("row")).join(groups, "group_key").where("row <> first").select("row.doc_id", "row.text_key").distinct()
+    again = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key")
+    gone, again = scratch.write(gone, "gone"), scratch.write(again, "again")
+
+    def same(other: DataFrame) -> Column:
+        return docs["doc_id"].cast("long").eqNullSafe(other["doc_id"]) & (F.xxhash64(docs["text"].cast("string")) == other["text_key"])
+
+    rest = docs.join(gone, same(gone), "left_anti")
+    if not again.limit(1).count():
+        return rest
+    key = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
+    once = rest.join(again, same(again), "left_semi").withColumn(key, F.xxhash64(docs["text"].cast("string"))).dropDuplicates(["doc_id", key]).drop(key)
+    return rest.join(again, same(again), "left_anti").unionByName(once)
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, points: DataFrame, scratch: Scratch, name: str, k: int, num: int, den: int) -> DataFrame:

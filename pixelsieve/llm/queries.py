@@ -57,7 +57,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark), k=4, num=85, den=100)
+    found = ngram_join.jaccard_components(table(spark, sf_dir, "documents"), Scratch(spark), k=4, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

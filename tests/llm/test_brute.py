@@ -239,6 +239,8 @@ def test_a_row_without_id_bridges_two(spark):
     near = lambda *skip: " ".join(w for i, w in enumerate(words) if i not in skip)
     rows = [(7, near(*range(12))), (None, near()), (9, near(*range(188, 200))), (None, None), (None, "other words stand here now")]
     got = {(x["doc_id"], x["n_shingles"]): x["component_id"] for x in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), 5, 90, 100).collect()}
+    kept = ngram_join.keep_first(spark.createDataFrame([*rows, rows[2], (7, "of the same id, another text"), (None, rows[4][1])], "doc_id long, text string"), Scratch(spark), 5, 90, 100)
+    assert sorted((x["doc_id"] or 0, x["text"] or "") for x in kept.collect()) == sorted([rows[0], (7, "of the same id, another text"), (0, ""), (0, rows[4][1])])
     assert got == {(7, 184): 7, (None, 196): 7, (9, 184): 7, (None, 0): None, (None, 1): None}
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -63,3 +64,26 @@ def test_empty_tables(spark, folder, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+EDGES = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n ", "en", None, 3), (4, "\n".join(prose(900, 4000)), "en", "s", 1), (4, "\n".join(prose(901, 3)), "en", "s", 1)]
+EDGES += [(i, "\n".join(prose(902, 5)), "en", "s", 1) for i in (5, 5, 6, None, None)] + [(7, "\n".join(prose(903, 5)), None, None, None), (None, "\n".join(prose(904, 5)), "en", "s", 1)]
+
+
+def test_edges_of_stages(spark, folder, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, ids twice or null, columns with names that operators use."""
+    names = ("n_lines", "n_removed", "text_key", "component_id", "kept", "language", "_key", "_id", "ids", "h", "w")
+    docs = spark.createDataFrame(EDGES, DOCS).withColumns({c: F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for c in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.columns == columns
+        rows = docs.collect()
+        assert all(r[c] == f"{c}{'' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in names), name
+    left = sorted((r["doc_id"] or 0, r["text"]) for r in rows)
+    alone = [(i or 0, t) for i, t, *_ in (EDGES[3], EDGES[4], EDGES[5], EDGES[10], EDGES[11])]
+    # of the five equal texts one stays, of the null ids none is older than any other
+    assert left == sorted(alone)
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert sorted((r["doc_id"] or 0, r["n_tokens"] > 0) for r in last.collect()) == sorted((i, True) for i, _ in alone)
