@@ -3,11 +3,14 @@
 Queries have query_id, bytes and components (algorithm and version where they are kept); a catalog
 has id, seq, algorithm, version, bytes, components, label. seq is the order of insertion and
 settles ties. Exact matches are equal in algorithm, version and bytes; distances compare bytes.
+
+Searches read an index: the different fingerprints and their bucket table. A store keeps both; for any
+other catalog they are built, and written, when the search begins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelsieve.functions import buckets, distance
+from pixelsieve.sources.shared import held
 from pixelsieve.types import MatchConfig
 
 #: Fingerprints of a block of queries and of a block of the catalog in a full scan.
@@ -40,28 +44,47 @@ def distinct_fingerprints(catalog: DataFrame) -> DataFrame:
     return first.select("r.seq", "r.id", "r.label", *IDENTITY, "components")
 
 
+@dataclass(frozen=True)
+class Index:
+    """What searches read: all labelled records, the different fingerprints among them, their buckets."""
+
+    records: DataFrame
+    firsts: DataFrame
+    buckets: DataFrame | None = None
+
+
+def build_index(catalog: DataFrame, with_buckets: bool = True) -> Index:
+    """An index of a catalog, in written tables."""
+    records = with_identity(catalog).where("label <> ''")
+    firsts = held(distinct_fingerprints(records))
+    return Index(records, firsts.drop("components"), held(buckets.buckets(firsts)) if with_buckets else None)
+
+
 def exact_matches(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    """query_id, id, seq, label: the record inserted first among those equal to the query."""
-    firsts = catalog.groupBy(*IDENTITY).agg(F.min(F.struct("seq", "id", "label")).alias("r"))
+    """query_id, id, seq, label: the record inserted first among those equal to the query.
+
+    Queries equal to each other ask once, and the catalog is aggregated only where it is asked for.
+    """
+    asked = queries.select(*IDENTITY).distinct()
+    firsts = catalog.select("id", "seq", "label", *IDENTITY).join(asked, IDENTITY, "left_semi").groupBy(*IDENTITY).agg(F.min(F.struct("seq", "id", "label")).alias("r"))
     return queries.join(firsts, IDENTITY).select("query_id", "r.id", "r.seq", "r.label")
 
 
 # --- candidates ---------------------------------------------------------------------------------
 
 
-def _candidates(queries: DataFrame, catalog: DataFrame, probes) -> DataFrame:
+def _candidates(queries: DataFrame, index: DataFrame, probes) -> DataFrame:
     """query_id, id, seq, probe: records that share a bucket, with the first probe that finds them."""
     asked = queries.select("query_id", F.posexplode(probes)).select("query_id", F.col("pos").alias("probe"), "col.band_index", "col.bucket_key")
-    index = buckets.buckets(catalog)
     return asked.join(index, ["band_index", "bucket_key"]).groupBy("query_id", "id", "seq").agg(F.min("probe").alias("probe"))
 
 
 def nearest_candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    return _candidates(queries, catalog, buckets.nearest_probes(F.col("components")))
+    return _candidates(queries, buckets.buckets(catalog), buckets.nearest_probes(F.col("components")))
 
 
 def similar_candidates(queries: DataFrame, catalog: DataFrame, threshold: float) -> DataFrame:
-    return _candidates(queries, catalog, buckets.similar_probes(F.col("components"), threshold))
+    return _candidates(queries, buckets.buckets(catalog), buckets.similar_probes(F.col("components"), threshold))
 
 
 def candidate_counts(queries: DataFrame, catalog: DataFrame, config: MatchConfig, mode: str) -> DataFrame:
@@ -130,42 +153,47 @@ def _nearest_result(queries: DataFrame, exact: DataFrame, near: DataFrame) -> Da
     return out.select("query_id", F.coalesce("exact_match", F.lit(False)).alias("exact_match"), F.coalesce("distance", F.lit(0.0)).alias("distance"), "id", "label", "seq")
 
 
-def nearest(queries: DataFrame, catalog: DataFrame, config: MatchConfig = MatchConfig(), index: str = "lsh") -> DataFrame:
+def nearest(queries: DataFrame, catalog: DataFrame | Index, config: MatchConfig = MatchConfig(), index: str = "lsh") -> DataFrame:
     """query_id, exact_match, distance, id, label, seq: the nearest record of each query.
 
     An exact match wins at distance 0. ``lsh`` looks among the records that share a bucket, and
     among all only where there are none; then ties go to the earlier probe, then the earlier
     record. ``brute`` looks among all. Over an empty catalog the distance is 0 and the record null.
     """
-    queries, catalog = with_identity(queries), with_identity(catalog).where("label <> ''")
-    exact = exact_matches(queries, catalog)
-    rest, unique = queries.join(exact, "query_id", "left_anti"), distinct_fingerprints(catalog)
+    queries, index_of = with_identity(queries), catalog if isinstance(catalog, Index) else build_index(catalog, index != "brute")
+    exact = exact_matches(queries, index_of.firsts)
+    rest = queries.join(exact, "query_id", "left_anti")
     if index == "brute":
-        return _nearest_result(queries, exact, scan_nearest(rest, unique, config))
-    pairs = _measured(nearest_candidates(rest, unique), rest, unique, config)
+        return _nearest_result(queries, exact, scan_nearest(held(rest.select("query_id", *IDENTITY)), index_of.firsts, config))
+    pairs = _measured(_candidates(rest, index_of.buckets, buckets.nearest_probes(F.col("components"))), rest, index_of.firsts, config)
     near = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "probe", "seq", "id", "label")).alias("b")).select("query_id", "b.id", "b.seq", "b.label", "b.distance")
-    near = near.persist()  # a row for each query: which are missed decides how the scan is cut
-    missed = rest.join(near, "query_id", "left_anti")
-    return _nearest_result(queries, exact, near.unionByName(scan_nearest(missed, unique, config)))
+    near = held(near)  # a row for each query: which are missed decides whether and how all are scanned
+    missed = held(rest.join(near, "query_id", "left_anti").select("query_id", *IDENTITY))
+    if missed.limit(1).count():
+        near = near.unionByName(scan_nearest(missed, index_of.firsts, config))
+    return _nearest_result(queries, exact, near)
 
 
-def similar(queries: DataFrame, catalog: DataFrame, config: MatchConfig = MatchConfig(), limit: int = 0, index: str = "lsh", fallback: str = "never") -> DataFrame:
+def similar(queries: DataFrame, catalog: DataFrame | Index, config: MatchConfig = MatchConfig(), limit: int = 0, index: str = "lsh", fallback: str = "never") -> DataFrame:
     """query_id, rank, id, label, seq, distance: records within the threshold, without exact matches.
 
     Sorted by distance, then order of insertion, and cut to the effective limit. With
     ``fallback="always"`` a query without any candidate is held against all records, as a
     persistent store does.
     """
-    queries, catalog = with_identity(queries), with_identity(catalog).where("label <> ''")
-    unique = distinct_fingerprints(catalog)
+    queries, index_of = with_identity(queries), catalog if isinstance(catalog, Index) else build_index(catalog, index != "brute")
+    unique, catalog = index_of.firsts, index_of.records
     if index == "brute":
         found = scan_similar(queries, unique, config)
     else:
-        candidates = similar_candidates(queries, unique, config.threshold)
+        candidates = _candidates(queries, index_of.buckets, buckets.similar_probes(F.col("components"), config.threshold))
+        if fallback == "always":
+            candidates = held(candidates)
         found = _measured(candidates, queries, unique, config).where(distance.within("distance", config.threshold)).drop("probe")
         if fallback == "always":
-            missed = queries.join(candidates, "query_id", "left_anti")
-            found = found.unionByName(scan_similar(missed, unique, config))
+            missed = held(queries.join(candidates, "query_id", "left_anti").select("query_id", *IDENTITY))
+            if missed.limit(1).count():
+                found = found.unionByName(scan_similar(missed, unique, config))
     # from fingerprints to all their records, without those equal to the query
     found = found.select("query_id", F.col("seq").alias("first_seq"), F.col("id").alias("first_id"), "distance")
     found = found.join(unique.select(F.col("seq").alias("first_seq"), F.col("id").alias("first_id"), *IDENTITY), ["first_seq", "first_id"])
@@ -178,7 +206,7 @@ def similar(queries: DataFrame, catalog: DataFrame, config: MatchConfig = MatchC
 
 def near_duplicate_pairs(catalog: DataFrame, config: MatchConfig) -> DataFrame:
     """(a, b, distance): distinct fingerprints of a catalog within the threshold, by their first seq."""
-    catalog = distinct_fingerprints(with_identity(catalog).where("label <> ''"))
-    as_queries = catalog.withColumnRenamed("seq", "query_id").select("query_id", *IDENTITY, "components")
-    pairs = similar(as_queries, catalog, config)
+    firsts = held(distinct_fingerprints(with_identity(catalog).where("label <> ''")))
+    as_queries = firsts.withColumnRenamed("seq", "query_id").select("query_id", *IDENTITY, "components")
+    pairs = similar(as_queries, Index(firsts, firsts.drop("components"), held(buckets.buckets(firsts))), config)
     return pairs.where("query_id < seq").select(F.col("query_id").alias("a"), F.col("seq").alias("b"), "distance")
