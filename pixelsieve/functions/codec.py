@@ -103,30 +103,32 @@ def decode_blob(blob: str | Column) -> Column:
     return F.when(F.octet_length(blob) == COMPONENTS + 5, F.struct(version.alias("version"), algorithm.alias("algorithm"), F.substring(blob, 6, COMPONENTS).alias("bytes")))
 
 
-_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+#: A mantissa that isn't zero: where the number is, it was too small for a double.
+_NOT_ZERO = r"^[^eE]*[1-9]"
 
 
 def strict_double(text: str | Column) -> Column:
     """A double where the whole text is one, without white space around it; else null.
 
     Decimal numbers, ``inf``/``infinity`` and ``nan`` are taken, in any case; numbers beyond the
-    range of doubles are not.
+    range of doubles, too large or too small, are not.
     """
     text = _col(text)
-    number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    number = F.when(F.abs(number) != float("inf"), number)
+    number = F.when(text.rlike(rf"^{_NUMBER}\z"), text.try_cast("double"))
+    number = F.when((F.abs(number) != float("inf")) & ((number != 0) | ~text.rlike(_NOT_ZERO)), number)
     word = F.lower(F.regexp_replace(text, r"^[+-]", ""))
-    special = F.when(text.rlike(r"^[+-]?[A-Za-z]+$") & word.isin("inf", "infinity"), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
-    return F.coalesce(number, special, F.when(text.rlike(r"^[+-]?[A-Za-z]+$") & (word == "nan"), F.lit(float("nan"))))
+    special = F.when(text.rlike(r"^[+-]?[A-Za-z]+\z") & word.isin("inf", "infinity"), F.when(text.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    return F.coalesce(number, special, F.when(text.rlike(r"^[+-]?[A-Za-z]+\z") & (word == "nan"), F.lit(float("nan"))))
 
 
 def parse_double(text: str) -> float | None:
     """The same for one string on the driver; hexadecimal numbers too."""
     if re.fullmatch(r"[+-]?0[xX][0-9A-Fa-f]+(\.[0-9A-Fa-f]*)?([pP][+-]?\d+)?", text):
         return float.fromhex(text)
-    if re.match(_NUMBER, text):
+    if re.fullmatch(_NUMBER, text):
         value = float(text)
-        return None if math.isinf(value) else value
+        return None if math.isinf(value) or (value == 0 and re.match(_NOT_ZERO, text)) else value
     return float(text) if re.fullmatch(r"(?i)[+-]?(inf|infinity|nan)", text) else None
 
 

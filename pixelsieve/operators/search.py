@@ -167,11 +167,12 @@ def nearest(queries: DataFrame, catalog: DataFrame | Index, config: MatchConfig
         return _nearest_result(queries, exact, scan_nearest(held(rest.select("query_id", *IDENTITY)), index_of.firsts, config))
     pairs = _measured(_candidates(rest, index_of.buckets, buckets.nearest_probes(F.col("components"))), rest, index_of.firsts, config)
     near = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "probe", "seq", "id", "label")).alias("b")).select("query_id", "b.id", "b.seq", "b.label", "b.distance")
-    near = held(near)  # a row for each query: which are missed decides whether and how all are scanned
-    missed = held(rest.join(near, "query_id", "left_anti").select("query_id", *IDENTITY))
+    # a row for each query: which are missed decides whether and how all are scanned
+    near = held(rest.select("query_id", *IDENTITY).join(near, "query_id", "left"))
+    found, missed = near.where("distance IS NOT NULL").drop(*IDENTITY), near.where("distance IS NULL").select("query_id", *IDENTITY)
     if missed.limit(1).count():
-        near = near.unionByName(scan_nearest(missed, index_of.firsts, config))
-    return _nearest_result(queries, exact, near)
+        found = found.unionByName(scan_nearest(missed, index_of.firsts, config))
+    return _nearest_result(queries, exact, found)
 
 
 def similar(queries: DataFrame, catalog: DataFrame | Index, config: MatchConfig = MatchConfig(), limit: int = 0, index: str = "lsh", fallback: str = "never") -> DataFrame:

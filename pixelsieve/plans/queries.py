@@ -8,6 +8,8 @@ that exact, similar and no matches all occur.
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -18,6 +20,9 @@ from pixelsieve.functions import bloom, buckets, codec, distance, kernel
 from pixelsieve.functions.synthetic import synthetic_components
 from pixelsieve.operators import classify, evaluate, policy, scan, search
 from pixelsieve.sources import datasets
+from pixelsieve.sources.images import with_fingerprints
+from pixelsieve.sources.shared import remove, shared_dir
+from pixelsieve.sources.store import FingerprintStore
 from pixelsieve.types import InputRequirements, MatchConfig, ModelMetadata, OutputMapping
 
 SIMILAR, EMBEDDING = MatchConfig(threshold=50.0), MatchConfig(threshold=240.0)
@@ -328,8 +333,8 @@ def sha256_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256_hex"))
 
 
-_NUMBERS = ["CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR) || '.5'", "' ' || CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR) || 'x'", "source", "CAST(doc_id AS VARCHAR) || 'e2'", "''"]
-_STRICT = r"CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') THEN TRY_CAST(t AS DOUBLE) END"
+_NUMBERS = ["CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR) || '.5'", "' ' || CAST(doc_id AS VARCHAR)", "CAST(doc_id AS VARCHAR) || 'x'", "source", "CAST(doc_id AS VARCHAR) || 'e2'", "''", "CAST(doc_id AS VARCHAR) || chr(10)", "'1e-400'", "'0e-400'", "'1e400'", "'nan' || chr(10)"]
+_STRICT = r"CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND NOT (TRY_CAST(t AS DOUBLE) = 0 AND regexp_matches(t, '^[^eE]*[1-9]')) AND NOT isinf(TRY_CAST(t AS DOUBLE)) THEN TRY_CAST(t AS DOUBLE) END"
 
 
 @query(f"SELECT doc_id, kind, {_STRICT} AS value FROM (SELECT doc_id, CAST(doc_id % {len(_NUMBERS)} AS INTEGER) AS kind, CASE doc_id % {len(_NUMBERS)} {' '.join(f'WHEN {i} THEN {x}' for i, x in enumerate(_NUMBERS))} END AS t FROM documents)")
@@ -467,22 +472,61 @@ def json_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", scan.json_string(F.col("text")).alias("json"))
 
 
+def _enrolled(catalog: DataFrame, ids: Column | None = None, label: Column | None = None) -> FingerprintStore:
+    """A store of its own with the catalog's fingerprints."""
+    spark = catalog.sparkSession
+    store = FingerprintStore(spark, f"{shared_dir(spark)}/pixelsieve-{uuid.uuid4().hex}")
+    atexit.register(remove, spark, store.path)
+    store.enroll(catalog.select((F.col("id") if ids is None else ids).alias("id"), "bytes", (F.col("label") if label is None else label).alias("label")))
+    return store
+
+
 @query(f"WITH {SYNTHETIC_SQL}, {BUCKETS_SQL} SELECT (SELECT count(*) FROM catalog) AS fingerprint_count, (SELECT count(*) FROM refs) AS bucket_count")
 def store_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = synthetic_catalog(spark, sf_dir)
-    counted = buckets.buckets(catalog).groupBy("id").agg(F.count("*").alias("n"))
-    return catalog.join(counted, "id", "left").agg(F.count("*").alias("fingerprint_count"), F.sum("n").alias("bucket_count"))
+    return _enrolled(synthetic_catalog(spark, sf_dir)).stats().select("fingerprint_count", "bucket_count")
 
 
-@query(f"""WITH enrolled AS (SELECT doc_id, lower(to_hex(rank)) AS id FROM (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) AS BIGINT) AS rank FROM documents))
-    SELECT id, doc_id FROM enrolled""")
+@query("SELECT lower(to_hex(unnest(range(1, (SELECT count(*) FROM documents) + 1)))) AS id")
 def enrolment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hexadecimal ordinals as ids: counts by range of doc_id shift the ranks within ranges."""
-    docs = table(spark, sf_dir, "documents").select("doc_id").withColumn("r", F.floor(F.col("doc_id") / 4096))
-    counts = docs.groupBy("r").agg(F.count("*").alias("n"))
-    before = counts.select("r", F.expr("coalesce(sum(n) OVER (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("before"))
-    ranked = docs.withColumn("k", F.expr("row_number() OVER (PARTITION BY r ORDER BY doc_id)")).join(before, "r")
-    return ranked.select(F.lower(F.hex((F.col("k") + F.col("before")).cast("long"))).alias("id"), "doc_id")
+    """Rows without ids get hexadecimal ordinals."""
+    return _enrolled(synthetic_catalog(spark, sf_dir), F.lit(None).cast("string")).records().select("id")
+
+
+@query(f"WITH {SYNTHETIC_SQL} SELECT id, CASE WHEN seq % 3 = 0 THEN 'later' ELSE 'first' END AS label, {_list_hex('c')} AS hex FROM catalog")
+def store_enrolment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two enrolments: rows without a label stay out of the first, taken ids out of the second. Then vacuum and rebuild."""
+    catalog = synthetic_catalog(spark, sf_dir)
+    store = _enrolled(catalog, label=F.when(F.col("seq") % 3 != 0, "first").otherwise(""))
+    store.enroll(catalog.select("id", "bytes", F.lit("later").alias("label")))
+    store.vacuum()
+    store.rebuild()
+    return store.records().select("id", "label", F.lower(F.hex("bytes")).alias("hex"))
+
+
+@query(f"WITH {SYNTHETIC_SQL} SELECT id, label, {_list_hex('c')} AS hex FROM catalog WHERE seq % 100 = 0")
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = synthetic_catalog(spark, sf_dir)
+    found = _enrolled(catalog).lookup(catalog.where("seq % 100 = 0").select("id"))
+    return found.select("id", "label", F.lower(F.hex("bytes")).alias("hex"))
+
+
+@query(f"WITH {EMBEDDING_SQL}, {QUERIES_SQL} SELECT q.query_id, arg_min(t.id, t.seq) AS id FROM queries q JOIN catalog t ON t.c = q.c GROUP BY q.query_id")
+def store_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = embedding_catalog(spark, sf_dir)
+    return _enrolled(catalog).find_exact(perturbed_queries(catalog)).select("query_id", "id")
+
+
+@query(f"SELECT query_id, id, distance FROM ({_similar_sql(EMBEDDING_SQL, EMBEDDING.threshold, True, True)})")
+def store_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the stored buckets, all records for queries without candidates."""
+    catalog = embedding_catalog(spark, sf_dir)
+    return _enrolled(catalog).find_similar(perturbed_queries(catalog), EMBEDDING).select("query_id", "id", "distance")
+
+
+@query(f"SELECT query_id, exact_match, distance, id FROM ({_nearest_lsh_sql(EMBEDDING_SQL)})")
+def store_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    catalog = embedding_catalog(spark, sf_dir)
+    return _enrolled(catalog).find_nearest(perturbed_queries(catalog), EMBEDDING).select("query_id", "exact_match", "distance", "id")
 
 
 def _embedding_image(embedding: Column) -> Column:
@@ -515,6 +559,16 @@ def classify_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify_images(rows, _MeanColour("", metadata)).select("vec_id", "label", "confidence", "detected")
 
 
+@query()
+def image_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images from pixels to decisions: hashed, matched with a third of them, scored by a stand-in model, decided."""
+    metadata = ModelMetadata(name="mean colour", inputs=InputRequirements(4, 4), mapping=MAPPING)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.lit(8).alias("width"), F.lit(8).alias("height"), _embedding_image(F.col("embedding")).alias("rgb"))
+    known = with_fingerprints(rows.where("CAST(path AS LONG) % 3 = 0")).select(F.col("path").alias("id"), F.col("path").cast("long").alias("seq"), F.lit("known").alias("label"), "bytes")
+    out = scan.scan(rows, search.with_identity(known), _MeanColour("", metadata), SIMILAR)
+    return out.select("path", "match_status", "nearest_distance", "matched_id", "classifier_status", "label", "confidence", "decision", "reason")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -21,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if the session still can."""
     try:
         sc = spark.sparkContext
         hadoop = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,6 +35,6 @@ def held(rows: DataFrame) -> DataFrame:
     """The rows, written and read again: what follows doesn't compute them anew. Removed when the driver ends."""
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/pixelsieve-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)

@@ -116,3 +116,11 @@ def test_bloom(spark):
     assert bloom.might_contain(table(0, 1000), words, bits, hashes).count() == 1000
     assert bloom.might_contain(table(10_000, 12_000), words, bits, hashes).count() < 60
     assert bloom.might_contain(table(0, 10), words, 0, 0).count() == 0
+
+
+def test_doubles_at_the_edges(spark):
+    texts = ["1\n", "nan\n", "1e-400", "-0.000e5", "0e-999", "1e400", "4.9e-324", " 1", "inf", "\n1"]
+    want = [None, None, None, 0.0, 0.0, None, 5e-324, None, float("inf"), None]
+    assert [codec.parse_double(t) for t in texts] == want
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", codec.strict_double("t").alias("v")).orderBy("i").collect()
+    assert [r["v"] for r in got] == want
