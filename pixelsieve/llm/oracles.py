@@ -96,7 +96,7 @@ def tool_call_linking() -> str:
     FROM turns WHERE role IS NULL OR role NOT IN ('user', 'assistant')"""
 
 
-def sharding(shards: int, rows_per_bin: int, most_bins: int, multiplier: int) -> str:
+def sharding(shards: int, rows_per_bin: int, most_bins: int, piece: int, multiplier: int) -> str:
     def unrolled(n: int) -> str:
         """The states of all steps as nested CTE columns: lists of structs fold badly."""
         ctes, before = [], "keyed"
@@ -116,12 +116,14 @@ def sharding(shards: int, rows_per_bin: int, most_bins: int, multiplier: int) ->
     return f"""WITH crc AS (SELECT {crc.format(inner)} AS t),
     keyed AS (SELECT doc_id, coalesce(text, '') AS text, (CAST(coalesce(doc_id, 0) AS HUGEINT) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS key, (CAST(coalesce(doc_id, 0) AS HUGEINT) + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS k, CAST(-1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS j FROM documents),
     {unrolled(shards)}, {unrolled(shards + 1)},
-    placed AS (SELECT p.doc_id, p.text, CAST(p.b AS INTEGER) AS shard, CAST(g.b AS INTEGER) AS grown_shard,
-        ((p.key * {multiplier} + 1) % 18446744073709551616::HUGEINT // 4294967296) % (SELECT least({most_bins}, 1 + count(*) // {rows_per_bin}) FROM documents) AS bin
+    placed AS (SELECT p.doc_id, p.text, p.key, CAST(p.b AS INTEGER) AS shard, CAST(g.b AS INTEGER) AS grown_shard
         FROM s{shards}_{shards - 1} p JOIN s{shards + 1}_{shards} g USING (doc_id)),
-    summed AS (SELECT doc_id, shard, grown_shard, bin, CAST(octet_length(encode(text)) AS BIGINT) + 1 AS size,
-        xor(list_reduce({nibbles}, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM placed, crc)
-    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id, size, text_crc32) - 1 AS slot, grown_shard FROM summed"""
+    summed AS (SELECT doc_id, key, shard, grown_shard, CAST(octet_length(encode(text)) AS BIGINT) + 1 AS size,
+        xor(list_reduce({nibbles}, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)), 4294967295) AS text_crc32 FROM placed, crc),
+    cut AS (SELECT *, (row_number() OVER (PARTITION BY doc_id, size, text_crc32) - 1) // {piece} AS piece FROM summed),
+    binned AS (SELECT *, ((xor(xor(key, CAST(text_crc32 AS HUGEINT)), CAST(piece AS HUGEINT) * 4294967296) * {multiplier} + 1) % 18446744073709551616::HUGEINT // 4294967296)
+        % (SELECT least({most_bins}, 1 + count(*) // {rows_per_bin}) FROM documents) AS bin FROM cut)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY bin, doc_id, size, text_crc32, piece) - 1 AS slot, grown_shard FROM binned"""
 
 
 def ngram_jaccard(k: int, num: int, den: int) -> str:

@@ -76,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_embedding_neardup": oracles.embedding_neardup(COSINE),
         "op4_decontamination": oracles.decontamination(),
         "op5_tool_call_linking": oracles.tool_call_linking(),
-        "op8_sharding": oracles.sharding(SHARDS, sharding.ROWS_PER_BIN, sharding.MOST_BINS, sharding.MULTIPLIER),
+        "op8_sharding": oracles.sharding(SHARDS, sharding.ROWS_PER_BIN, sharding.MOST_BINS, sharding.PIECE, sharding.MULTIPLIER),
         "op9_ngram_jaccard": oracles.ngram_jaccard(4, 85, 100),
         "op10_warc": oracles.warc(),
     }

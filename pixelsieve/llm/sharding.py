@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelsieve.llm.common import Scratch
+
 # Fixed value of the published jump hash: the multiplier of its 64-bit linear congruence.
 MULTIPLIER = 2862933555777941757
 _A_HIGH, _A_LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
@@ -16,6 +18,8 @@ _LOW32 = 0xFFFFFFFF
 
 #: Rows that a bin of a shard holds about, and the most bins a shard is cut into for numbering.
 ROWS_PER_BIN, MOST_BINS = 500, 4096
+#: Equal rows that are numbered together at most.
+PIECE = 65_536
 
 
 def _next_state(hi: Column, lo: Column) -> tuple[Column, Column]:
@@ -60,37 +64,43 @@ def bin_of(key: Column, bins: Column) -> Column:
     return F.pmod(hi, bins).cast("int")
 
 
-def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard_rows(rows: DataFrame, shards: int, key: str = "doc_id", text: str = "text", scratch: Scratch | None = None) -> DataFrame:
     """Puts every row into a shard by its key and numbers the rows of each shard from 0.
 
     Returns key, size, text_crc32, law, shard, slot, grown_shard. Size is the text's UTF-8 bytes
-    plus 1. Slots follow (bin, key, size, text_crc32); the bins of a shard are numbered apart and
-    shifted by a table of at most ``shards * MOST_BINS`` counts, so that no task sorts a whole
-    shard. Null texts count as empty, null keys as key 0 (the key stays null in the result),
-    repeated rows get a slot each, an empty table gives no rows, other columns are ignored.
+    plus 1. Rows equal in key, size and text_crc32 are counted before any shuffle, and pieces of
+    up to PIECE of them numbered as one. Slots follow (bin, key, size, text_crc32, piece), and bins
+    are dealt by all but the size, so neither a key nor a repeated row that very many rows share
+    gathers in one bin; the bins of a shard are numbered apart and shifted by a table of at most
+    ``shards * MOST_BINS`` counts, so that no task sorts a whole shard. Texts are read once. Null
+    texts count as empty, null keys as key 0 (the key stays null in the result), repeated rows get
+    a slot each, an empty table gives no rows, other columns are ignored.
     """
-    n = rows.count()
-    bins = F.lit(min(MOST_BINS, 1 + n // ROWS_PER_BIN)).cast("long")
     number = F.coalesce(F.col(key).cast("long"), F.lit(0).cast("long"))
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    sized = rows.select(F.col(key).alias("_key"), number.alias("_number"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
+    equal = sized.groupBy("_key", "_number", "size", "text_crc32").agg(F.count("*").alias("_equal"))
+    equal = (scratch or Scratch(rows.sparkSession)).write(equal, "equal-rows")
 
-    placed = rows.select(
-        F.col(key),
-        (F.octet_length(raw).cast("long") + 1).alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        jump_shard(number, shards).alias("shard"),
-        bin_of(number, bins).alias("_bin"),
-        jump_shard(number, shards + 1).alias("grown_shard"),
-    )
-    counts = rows.select(jump_shard(number, shards).alias("shard"), bin_of(number, bins).alias("_bin"))
-    counts = counts.groupBy("shard", "_bin").agg(F.count("*").alias("n"))
+    n = equal.agg(F.coalesce(F.sum("_equal"), F.lit(0))).first()[0]
+    bins = F.lit(min(MOST_BINS, 1 + n // ROWS_PER_BIN)).cast("long")
+    pieces = equal.select("*", F.explode(F.expr(f"sequence(0L, (_equal - 1) div {PIECE})")).alias("_piece"))
+    salted = F.col("_number").bitwiseXOR(F.col("text_crc32")).bitwiseXOR(F.shiftleft("_piece", 32))
+    placed = pieces.select(
+        "_key", "size", "text_crc32", "_piece",
+        F.expr(f"least({PIECE}L, _equal - _piece * {PIECE})").alias("_rows"),
+        jump_shard(F.col("_number"), shards).alias("shard"),
+        bin_of(salted, bins).alias("_bin"),
+        jump_shard(F.col("_number"), shards + 1).alias("grown_shard"),
+    )
+    counts = placed.groupBy("shard", "_bin").agg(F.sum("_rows").alias("n"))
     # the counts of one shard are at most MOST_BINS numbers
     listed = counts.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("_bin", "n"))).alias("bins"))
     before = F.expr("transform(bins, (x, i) -> struct(x._bin AS _bin, aggregate(slice(bins, 1, i), 0L, (a, y) -> a + y.n) AS first_slot))")
     offsets = listed.select("shard", F.inline(before))
 
-    in_bin = F.expr(f"row_number() OVER (PARTITION BY shard, _bin ORDER BY `{key}`, size, text_crc32)").cast("long")
-    out = placed.withColumn("_n", in_bin).join(F.broadcast(offsets), ["shard", "_bin"])
-    return out.select(
-        key, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first_slot") + F.col("_n") - 1).alias("slot"), "grown_shard"
-    )
+    in_bin = F.expr("sum(_rows) OVER (PARTITION BY shard, _bin ORDER BY _key, size, text_crc32, _piece ROWS UNBOUNDED PRECEDING)")
+    out = placed.withColumn("_end", in_bin).join(F.broadcast(offsets), ["shard", "_bin"])
+    out = out.withColumn("_first", F.col("first_slot") + F.col("_end") - F.col("_rows"))
+    out = out.select("*", F.explode(F.expr("sequence(_first, _first + _rows - 1)")).alias("slot"))
+    return out.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
