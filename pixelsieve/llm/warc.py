@@ -1,8 +1,8 @@
 """WARC archives of Zstandard frames that share an embedded dictionary.
 
 An archive file starts with a skippable frame that holds the dictionary; every record follows as a
-frame of its own, so that a reader can start at any record. Between frames stands an empty
-skippable frame: it is the row separator with which Spark's text writer puts archive files into any
+frame of its own, so that a reader can start at any record. Between pieces of
+some records stands an empty skippable frame: it is the row separator with which Spark's text writer puts archive files into any
 file system that Spark can write, under its commit protocol, so a lost executor leaves no half file.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -28,8 +29,11 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: The dictionary is trained on at most so many records of at most so many characters each.
 SAMPLE_RECORDS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 65_536, 65_536
-#: Records of an archive file, and the compression level.
-FILE_RECORDS, LEVEL = 2_000, 6
+#: A file holds FILE_PIECES pieces. A piece is a row of Spark's writer: it ends with its share of FILE_RECORDS, or
+#: with the record that brings it to its share of FILE_BYTES, so a file has FILE_BYTES and a record for each piece at most.
+FILE_RECORDS, FILE_BYTES, FILE_PIECES, LEVEL = 2_000, 64 << 20, 8, 6
+#: Rows that a reader gives back together.
+READ_ROWS = 2_000
 WARC_DATE = "1970-01-01T00:00:00Z"
 
 
@@ -143,38 +147,54 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     bounded_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html")
     dictionary = train_dictionary(pages)
+    pieces = min(FILE_PIECES, FILE_RECORDS)
+    records, size = FILE_RECORDS // pieces, FILE_BYTES // pieces
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         writer = zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_checksum=True)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
         rows = 0
+        piece: list[bytes] = []
+        held = 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal rows, held
+            out = [b"".join(piece)]
+            if rows % (pieces + 1) == 0:  # the first row of each file
+                out.insert(0, lead)
+            rows += len(out)
+            held = 0
+            piece.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+
         for batch in batches:
-            out: list[bytes] = []
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if rows % (FILE_RECORDS + 1) == 0:  # the first row of each file
-                    out.append(lead)
-                    rows += 1
-                out.append(writer.compress(record_bytes(page_id, url, (html or "").encode(), refers_to)))
-                rows += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+            for page in range(batch.num_rows):
+                page_id, url, html, refers_to = (c[page].as_py() for c in batch.columns)
+                piece.append(writer.compress(record_bytes(page_id, url, (html or "").encode(), refers_to)))
+                held += len(piece[-1])
+                if len(piece) >= records or held >= size:
+                    yield row()
+        if piece:
+            yield row()
 
     lines = with_revisits(pages, Scratch(pages.sparkSession), least_bytes).mapInArrow(tidy(run), "frame binary").select(F.col("frame").cast("string").alias("value"))
-    lines.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS + 1).text(path)
+    lines.write.option("lineSep", EMPTY_FRAME).option("compression", "none").option("maxRecordsPerFile", pieces + 1).text(path)
 
 
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """The records of all archive files under ``path``; a file holds at most FILE_RECORDS of them."""
+    """The records of all archive files under ``path``, read one at a time; rows go out READ_ROWS at a time."""
     names = [c.split()[0] for c in RECORD.split(", ")]
     schema = pa.schema([(n, pa.string() if "string" in c else pa.int64()) for n, c in zip(names, RECORD.split(", "), strict=True)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0):
-                yield pa.RecordBatch.from_pylist(list(read_archive(archive.as_py())), schema=schema)
+                for found in itertools.batched(read_archive(archive.as_py()), READ_ROWS):
+                    yield pa.RecordBatch.from_pylist(list(found), schema=schema)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(run), RECORD)
 

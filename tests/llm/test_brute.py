@@ -6,6 +6,7 @@ import json
 import math
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -518,9 +519,37 @@ def test_growth_moves_few(spark):
     assert moved.where("grown_shard <> 8").count() == 0 and abs(moved.count() - 1000) < 150
 
 
+def test_one_key_or_row_that_very_many_share(spark, monkeypatch):
+    """Slots stay gapless, shards follow the key, and no bin holds a large part of a shared key or row."""
+    monkeypatch.setattr(sharding, "PIECE", 10)
+    monkeypatch.setattr(sharding, "ROWS_PER_BIN", 50)
+    rows = [(7, f"text {i}") for i in range(1000)] + [(7, "same")] * 1003 + [(None, None)] * 400 + [(i, "x") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [r.asDict() for r in sharding.shard_rows(df, 8).collect()]
+    assert sorted((r["doc_id"] is None, r["doc_id"], r["size"], r["text_crc32"]) for r in got) == sorted((k is None, k, len(t or "") + 1, zlib.crc32((t or "").encode())) for k, t in rows)
+    for shard in range(8):
+        slots = sorted(r["slot"] for r in got if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert all(r["shard"] == jump(r["doc_id"] or 0, 8) and r["grown_shard"] == jump(r["doc_id"] or 0, 9) for r in got)
+    same = sorted(r["slot"] for r in got if r["doc_id"] == 7 and r["size"] == 5)
+    assert same[-1] - same[0] > 1003  # pieces of it lie among other rows
+
+
 # --- 10 ---
 
 
+def test_archive_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 80_000)
+    monkeypatch.setattr(warc, "READ_ROWS", 3)
+    r = random.Random(5)
+    pages = [(i, None, "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=r.choice([10, 3000, 30_000])))) for i in range(120)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    got = {x["page_id"]: x["payload_bytes"] for x in warc.round_trip(df, str(tmp_path / "w")).collect()}
+    assert got == {i: len(html) for i, _, html in pages}
+    files = [f.stat().st_size for f in (tmp_path / "w").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 1 and max(files) <= 80_000 + warc.FILE_PIECES * 31_000 + warc.DICTIONARY_BYTES + 100
+
+
 def test_archives(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "FILE_RECORDS", 7)
     r = random.Random(3)
