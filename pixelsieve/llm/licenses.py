@@ -4,7 +4,7 @@ All rolling hashes of k words of all texts are joined with the positions at whic
 templates hold them. A hit votes for the diagonal (position in the text less position in the
 template); a copied template is one diagonal, and one with words added or left out is a few
 neighbouring ones, which are merged. A merged diagonal becomes a label when the template
-positions that it covers are a large enough share of the template.
+positions that it covers are a large enough share of the template and at least a few in number.
 
 Besides, places of the base phrases are counted exactly.
 """
@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from pixelsieve.llm.common import ALNUM_OR_HIGH, bounded_batches, list_array, shingle_hashes, tidy, utf8_chunks, words_of
 
-#: Words of a rolling hash, offset by which neighbouring diagonals differ, share of a template.
-WORDS, NEIGHBOUR, SHARE = 4, 4, 0.5
+#: Words of a rolling hash, offset by which neighbouring diagonals differ, share of a template, and hashes that a span
+#: covers at least (all of a template that has fewer), so that a few common words in a row are no license.
+WORDS, NEIGHBOUR, SHARE, LEAST_GRAMS = 4, 4, 0.5, 3
 
 # The base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -34,14 +35,29 @@ TEMPLATES = {
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice shall be included in all copies or substantial portions of
         the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT
-        NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+        NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+        EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN
+        ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
     "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
-        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+        THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING
+        ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS,
+        WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE
+        USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
         that the following conditions are met: Redistributions of source code must retain the above copyright notice,
         this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above
         copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
-        materials provided with the distribution.""",
+        materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS
+        "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+        CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES
+        (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+        BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR
+        TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+        THE POSSIBILITY OF SUCH DAMAGE.""",
     "apache-notice": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
         compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
         Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
@@ -123,7 +139,7 @@ def _grams(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(tidy(run), "doc_id long, key long, grams array<long>").select("doc_id", "key", F.posexplode("grams").alias("position", "hash"))
 
 
-def votes(docs: DataFrame, templates: dict[str, str], k: int, neighbour: int, share: float) -> DataFrame:
+def votes(docs: DataFrame, templates: dict[str, str], k: int, neighbour: int, share: float, least: int) -> DataFrame:
     """doc_id, key, label, first, last, share: verified spans of templates."""
     spark = docs.sparkSession
     positions = spark.createDataFrame(template_positions(templates, k), "hash long, label string, at int, size int")
@@ -136,11 +152,12 @@ def votes(docs: DataFrame, templates: dict[str, str], k: int, neighbour: int, sh
     merged = diagonals.withColumn("new", F.expr(f"CASE WHEN diagonal - lag(diagonal) OVER ({per}) <= {neighbour} THEN 0 ELSE 1 END"))
     merged = merged.withColumn("band", F.expr(f"sum(new) OVER ({per})"))
     spans = merged.groupBy("doc_id", "key", "label", "size", "band").agg(F.array_distinct(F.flatten(F.collect_list("covered"))).alias("covered"), F.min("first").alias("first"), (F.max("last") + k - 1).alias("last"))
-    spans = spans.withColumn("share", F.size("covered") / F.col("size")).where(F.col("share") >= share)
+    spans = spans.withColumn("share", F.size("covered") / F.col("size"))
+    spans = spans.where((F.col("share") >= share) & (F.size("covered") >= F.least("size", F.lit(least))))
     return spans.select("doc_id", "key", "label", "first", "last", "share")
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = WORDS, neighbour: int = NEIGHBOUR, share: float = SHARE) -> DataFrame:
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, k: int = WORDS, neighbour: int = NEIGHBOUR, share: float = SHARE, least: int = LEAST_GRAMS) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. labels joins the
@@ -151,7 +168,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     """
     bounded_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
-    found = votes(texts, templates, k, neighbour, share)
+    found = votes(texts, templates, k, neighbour, share, least)
     found = found.groupBy("doc_id", "key").agg(F.sort_array(F.collect_list(F.struct("label", "first", "last", "share"))).alias("spans"))
     base = _scan(texts, phrases)
     both = base.alias("b").join(found.alias("f"), F.col("b.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("b.key") == F.col("f.key")), "left")

@@ -16,7 +16,7 @@ def _components(links: str, nodes: str) -> str:
     grouped AS (SELECT id, min(other) AS component FROM reached GROUP BY id)"""
 
 
-def license_scan(k: int = licenses.WORDS, neighbour: int = licenses.NEIGHBOUR, share: float = licenses.SHARE) -> str:
+def license_scan(k: int = licenses.WORDS, neighbour: int = licenses.NEIGHBOUR, share: float = licenses.SHARE, least: int = licenses.LEAST_GRAMS) -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
     templates = ", ".join(f"({quote(label)}, {quote(text)})" for label, text in licenses.TEMPLATES.items())
     phrases = ", ".join(f"({quote(label)}, {quote(' '.join(p.split()))}, {len(p.split())})" for p, label in licenses.PHRASES.items())
@@ -33,8 +33,8 @@ def license_scan(k: int = licenses.WORDS, neighbour: int = licenses.NEIGHBOUR, s
     diagonals AS (SELECT doc_id, label, size, diagonal, list(DISTINCT place) AS covered, min(position) AS first, max(position) AS last FROM hits GROUP BY ALL),
     marked AS (SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY doc_id, label ORDER BY diagonal) <= {neighbour} THEN 0 ELSE 1 END AS new FROM diagonals),
     bands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, label ORDER BY diagonal) AS band FROM marked),
-    spans AS (SELECT doc_id, label, CAST(len(list_distinct(flatten(list(covered)))) AS DOUBLE) / size AS share, min(first) AS first, max(last) + {k} - 1 AS last FROM bands GROUP BY doc_id, label, size, band),
-    found AS (SELECT doc_id, list(label) AS labels, max(share) AS share, to_json(list({{'label': label, 'first': first, 'last': last, 'share': share}} ORDER BY label, first, last, share)) AS spans FROM spans WHERE share >= {share} GROUP BY doc_id)
+    spans AS (SELECT doc_id, label, size, len(list_distinct(flatten(list(covered)))) AS n_covered, CAST(n_covered AS DOUBLE) / size AS share, min(first) AS first, max(last) + {k} - 1 AS last FROM bands GROUP BY doc_id, label, size, band),
+    found AS (SELECT doc_id, list(label) AS labels, max(share) AS share, to_json(list({{'label': label, 'first': first, 'last': last, 'share': share}} ORDER BY label, first, last, share)) AS spans FROM spans WHERE share >= {share} AND n_covered >= least(size, {least}) GROUP BY doc_id)
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
     array_to_string(list_sort(list_distinct(list_filter(list_concat(string_split(coalesce(base_labels, ''), ','), coalesce(f.labels, [])), lambda x: x <> ''))), ',') AS labels,
     greatest(coalesce(f.share, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score, CAST(f.spans AS VARCHAR) AS spans

@@ -402,6 +402,22 @@ def test_license_spans(spark):
     assert (got[4]["base_labels"], got[4]["n_base"], got[4]["first_word"], got[4]["last_word"], got[4]["score"]) == ("gpl,mit", 3, 1, 6, 0.5)
 
 
+def test_license_mentions_and_adjacent_copies(spark):
+    line, isc = licenses.TEMPLATES["gpl-line"], licenses.TEMPLATES["isc-text"]
+    rows = [
+        (1, "This is not under the MIT License at all"), (2, "x Released under the MIT license y"), (3, f"{line} {line} {line}"), (4, f"{isc} {isc}"),
+        (5, "the software is provided as is without warranty of any kind express or implied"), (6, licenses.TEMPLATES["bsd-text"].lower()),
+    ]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["labels"], got[1]["spans"]) == ("mit", None)  # the base phrase only
+    assert got[2]["labels"] == "mit,mit-line" and [tuple(s) for s in got[2]["spans"]] == [("mit-line", 1, 5, 1.0)]
+    n = len(licenses._words(line))
+    assert [(s["label"], s["first"], s["last"]) for s in got[3]["spans"]] == [("gpl-line", i * n, i * n + n - 1) for i in range(3)]
+    n = len(licenses._words(isc))
+    assert [(s["label"], s["first"], s["last"]) for s in got[4]["spans"] if s["share"] == 1] == [("isc-text", i * n, i * n + n - 1) for i in range(2)]
+    assert got[5]["labels"] == "" and got[6]["labels"] == "bsd-text" and got[6]["score"] == 1.0
+
+
 # --- 7 ---
 
 
