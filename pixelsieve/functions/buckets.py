@@ -52,11 +52,26 @@ def index_refs(c: Column) -> Column:
     return F.array(*refs)
 
 
+def nibble_refs(c: Column) -> Column:
+    """Those of the 25 among which similar fingerprints are sought."""
+    return F.array(*[_ref(BANDS + b, nibble_key(c, b)) for b in range(BANDS)])
+
+
 def neighbour_delta(threshold: float) -> int:
     """How far single nibbles are varied, by the threshold whatever the metric."""
     return 1 if threshold <= 15 else 2 if threshold <= 50 else 3
 
 
+def _varied(key: Column, nibbles: list[Column], delta: int) -> Column:
+    """A nibble key and those with one nibble varied."""
+    keys = [F.array(key)]
+    for g, nibble in enumerate(nibbles):
+        for step in [s for s in range(-delta, delta + 1) if s]:
+            moved = key + F.shiftleft(F.lit(1), 12 - 4 * g) * step
+            keys.append(F.when((nibble + step).between(0, 15), F.array(moved)).otherwise(F.array().cast("array<int>")))
+    return F.concat(*keys)
+
+
 def nearest_probes(c: Column) -> Column:
     """Where the nearest fingerprint is sought, in order: prefix, then whole bands."""
     return F.array(_ref(PREFIX_BAND, prefix_key(c)), *[_ref(b, exact_key(c, b)) for b in range(BANDS)])
@@ -65,16 +80,17 @@ def nearest_probes(c: Column) -> Column:
 def similar_probes(c: Column, threshold: float) -> Column:
     """Where similar fingerprints are sought: nibble keys and those with one nibble varied."""
     delta = neighbour_delta(threshold)
-    out = []
-    for b in range(BANDS):
-        nibbles, key = _nibbles(c, b), nibble_key(c, b)
-        keys = [F.array(key)]
-        for g, nibble in enumerate(nibbles):
-            for step in [s for s in range(-delta, delta + 1) if s]:
-                moved = key + F.shiftleft(F.lit(1), 12 - 4 * g) * step
-                keys.append(F.when((nibble + step).between(0, 15), F.array(moved)).otherwise(F.array().cast("array<int>")))
-        out.append(_in_band(F.concat(*keys), BANDS + b))
-    return F.array_distinct(F.concat(*out))
+    return F.array_distinct(F.concat(*[_in_band(_varied(nibble_key(c, b), _nibbles(c, b), delta), BANDS + b) for b in range(BANDS)]))
+
+
+def packed(refs: Column) -> Column:
+    """Buckets as whole numbers: the band above the 16 bits of the key."""
+    return F.transform(refs, lambda r: F.shiftleft(r["band_index"], 16).bitwiseOR(r["bucket_key"]))
+
+
+def packed_similar_probes(ref: Column, threshold: float) -> Column:
+    """Where ``similar_probes`` seeks by a packed nibble key."""
+    return _varied(ref, [F.shiftright(ref, 12 - 4 * g).bitwiseAND(15) for g in range(4)], neighbour_delta(threshold))
 
 
 def buckets(records: DataFrame) -> DataFrame:

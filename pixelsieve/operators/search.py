@@ -79,19 +79,28 @@ def _candidates(queries: DataFrame, index: DataFrame, probes) -> DataFrame:
     return asked.join(index, ["band_index", "bucket_key"]).groupBy("query_id", "id", "seq").agg(F.min("probe").alias("probe"))
 
 
-def nearest_candidates(queries: DataFrame, catalog: DataFrame) -> DataFrame:
-    return _candidates(queries, buckets.buckets(catalog), buckets.nearest_probes(F.col("components")))
-
-
-def similar_candidates(queries: DataFrame, catalog: DataFrame, threshold: float) -> DataFrame:
-    return _candidates(queries, buckets.buckets(catalog), buckets.similar_probes(F.col("components"), threshold))
+def _by_buckets(rows: DataFrame, ids: list[str], refs) -> DataFrame:
+    """ids, times, refs: all buckets of the rows of each id, packed and in order, and how many rows these are."""
+    sets = rows.select(*ids, buckets.packed(refs).alias("refs")).groupBy(*ids).agg(F.count("*").alias("times"), F.collect_set("refs").alias("refs"))
+    return sets.withColumn("refs", F.array_sort(F.array_distinct(F.flatten("refs"))))
 
 
 def candidate_counts(queries: DataFrame, catalog: DataFrame, config: MatchConfig, mode: str) -> DataFrame:
-    """query_id, candidates: how many records the buckets yield; all records where nearest finds none."""
-    found = nearest_candidates(queries, catalog) if mode == "nearest" else similar_candidates(queries, catalog, config.threshold)
-    counts = queries.select("query_id").join(found.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left")
-    counts = counts.withColumn("n", F.coalesce("n", F.lit(0)))
+    """query_id, candidates: how many records the buckets yield; all records where nearest finds none.
+
+    Records of the same buckets are found together and counted before the join, and queries of the same
+    buckets ask once: the join grows with the different ones only. A record (id, seq) counts once, however many
+    of its buckets are hit; a query_id has one row, in which its records count for each of its repetitions.
+    """
+    c = F.col("components")
+    refs = buckets.nearest_probes(c) if mode == "nearest" else buckets.nibble_refs(c)
+    asked, records = _by_buckets(queries, ["query_id"], refs), _by_buckets(catalog, ["id", "seq"], refs).groupBy("refs").agg(F.count("*").alias("n"))
+    probes = asked.select("refs").distinct().select(F.col("refs").alias("asks"), F.explode("refs").alias("ref"))
+    if mode != "nearest":
+        probes = probes.select("asks", F.explode(buckets.packed_similar_probes(F.col("ref"), config.threshold)).alias("ref"))
+    found = probes.join(records.select("refs", "n", F.explode("refs").alias("ref")), "ref").select("asks", "refs", "n").distinct()
+    found = found.groupBy(F.col("asks").alias("refs")).agg(F.sum("n").alias("n"))
+    counts = asked.join(found, "refs", "left").select("query_id", F.coalesce(F.col("n") * F.col("times"), F.lit(0)).alias("n"))
     if mode == "nearest":
         counts = counts.withColumn("n", F.when(F.col("n") == 0, F.lit(catalog.count())).otherwise(F.col("n")))
     return counts.select("query_id", F.col("n").cast("long").alias("candidates"))

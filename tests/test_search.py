@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pixelsieve.functions import buckets
 from pixelsieve.functions.synthetic import synthetic_components
 from pixelsieve.operators import search
 from pixelsieve.types import MatchConfig
@@ -29,6 +30,58 @@ def test_candidate_counts(spark, multiplier, n, nearest, similar):
     assert search.candidate_counts(query, catalog, config, "similar").first()["candidates"] == similar
 
 
+def joined_rows(result):
+    """What the joins of a result put out, after it has run."""
+    result.collect()
+    nodes, out = [result._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        kind = node.getClass().getSimpleName()
+        if kind.endswith("JoinExec"):
+            out.append(node.metrics().apply("numOutputRows").value())
+        inner = node.executedPlan() if kind == "AdaptiveSparkPlanExec" else node.plan() if kind.endswith("QueryStageExec") else None
+        children = node.children()
+        nodes += [inner] if inner else [children.apply(i) for i in range(children.size())]
+    return sum(out)
+
+
+def similar_by_hand(query, n):
+    """How many of n synthetic records have a band whose four nibbles are the query's but for one, two off at most."""
+    nibbles = lambda c: np.array([[c[12 * b + (5 * g + b) % 12] >> 4 for g in range(4)] for b in range(12)])
+    off = [np.abs(nibbles([(k + (k >> 4) + 17 * i) % 256 for i in range(144)]) - nibbles(query)) for k in range(n)]
+    return sum(bool((((d > 0).sum(1) <= 1) & (d.max(1) <= 2)).any()) for d in off)
+
+
+@pytest.mark.parametrize("mode", ["nearest", "similar"])
+def test_candidates_are_counted_without_their_pairs(spark, mode):
+    query, config = asked(spark, [(k, seed42()) for k in range(20)]), MatchConfig(threshold=50.0)
+    few, many = (search.candidate_counts(query, catalog_of(spark, n), config, mode) for n in (1000, 4000))
+    rows = joined_rows(few)
+    assert joined_rows(many) == rows < 500
+    assert {r["candidates"] for r in many.collect()} == {32 if mode == "nearest" else similar_by_hand(seed42(), 4000)}
+
+
+@pytest.mark.parametrize("mode", ["nearest", "similar"])
+def test_candidate_counts_of_repeated_ids(spark, mode):
+    base, far, odd = [100] * 144, [200] * 144, [20, 250] * 72
+    rows = [("a", 1, base), ("a", 1, base), ("b", 2, base), ("c", 3, base), ("c", 3, far), ("d", 4, far), ("e", 5, None)]
+    catalog = search.with_identity(spark.createDataFrame([(i, s, "x", c) for i, s, c in rows], "id string, seq long, label string, components array<int>"))
+    queries = asked(spark, [(1, base), (2, base), (2, base), (3, base), (3, far), (4, odd)])
+    got = sorted(map(tuple, search.candidate_counts(queries, catalog, MatchConfig(threshold=50.0), mode).collect()))
+    # a record counts once; a query with two fingerprints finds what either finds, once for each of its rows
+    assert got == [(1, 3), (2, 6), (3, 8), (4, 7 if mode == "nearest" else 0)]
+
+
+@pytest.mark.parametrize("threshold", [10.0, 50.0, 240.0])
+def test_packed_probes(spark, threshold):
+    rng = np.random.default_rng(5)
+    rows = asked(spark, list(enumerate(rng.integers(0, 256, (20, 144)).tolist()))).select("query_id", "components")
+    whole = rows.select("query_id", F.explode(buckets.packed(buckets.similar_probes(F.col("components"), threshold))))
+    each = rows.select("query_id", F.explode(buckets.packed(buckets.nibble_refs(F.col("components")))).alias("ref"))
+    each = each.select("query_id", F.explode(buckets.packed_similar_probes(F.col("ref"), threshold)))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, each.collect()))
+
+
 def test_index_equals_scan(spark):
     catalog = catalog_of(spark, 256, 5)
     queries = asked(spark, [(k, [min(255, x + (i == 0)) for i, x in enumerate((k + 5 * j + (k >> 4)) % 256 for j in range(144))]) for k in range(0, 250, 10)])
